@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.llm.distinctive import distinctive_terms
 from reviewloom.llm.encode import encode_documents
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
+from reviewloom.llm.markup import clean_markup
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
 from reviewloom.sources.tables import table
@@ -31,6 +32,18 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def p1_found(s, d):
+    return clean_markup(table(s, d, "documents")).select("doc_id", F.explode("families").alias("family"))
+
+
+@query()
+def p1_clean(s, d):
+    """Clean text, and its blocks as `kind<level>: text` lines."""
+    c = clean_markup(table(s, d, "documents"))
+    return c.select("doc_id", "text", F.transform("blocks", lambda b: F.concat(b["kind"], b["level"].cast("string"), F.lit(": "), b["text"])).alias("blocks"))
+
+
 def _texts(s, d) -> DataFrame:
     return current_reviews(table(s, d, "reviews"), "text")
 
