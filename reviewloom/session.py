@@ -58,11 +58,14 @@ def cut(df: DataFrame) -> DataFrame:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a compressed Parquet table in the shared folder and reads it back.
 
-    Smaller on disk than a checkpoint and columnar, so later steps read only the columns they need.
+    Smaller on disk than a checkpoint and columnar, so later steps read only the columns they need. It is
+    deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/reviewloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
