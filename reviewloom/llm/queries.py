@@ -11,8 +11,10 @@ from reviewloom.llm.distinctive import distinctive_terms
 from reviewloom.llm.encode import encode_documents
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
+from reviewloom.llm.near_duplicates import duplicate_groups, similar_links, similar_pairs
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
+from reviewloom.session import stash
 from reviewloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +99,16 @@ def p7_segments(s, d):
 @query()
 def p8_ids(s, d):
     return encode_documents(table(s, d, "documents"))
+
+
+@query()
+def p6_found(s, d):
+    pairs = similar_pairs(*similar_links(table(s, d, "reviews")))
+    return pairs.select(F.col("a").alias("review_a"), F.col("b").alias("review_b"))
+
+
+@query()
+def p6_groups(s, d):
+    """Groups of reviews that repeat another with small changes: one row per review that has a copy or a link."""
+    links, members = similar_links(table(s, d, "reviews"))
+    return duplicate_groups(stash(links, "links"), members).withColumnRenamed("id", "review_id")
