@@ -12,6 +12,7 @@ from reviewloom.llm.encode import encode_documents
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
 from reviewloom.llm.near_duplicates import duplicate_groups, similar_links, similar_pairs
+from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
 from reviewloom.session import stash
@@ -112,3 +113,35 @@ def p6_groups(s, d):
     """Groups of reviews that repeat another with small changes: one row per review that has a copy or a link."""
     links, members = similar_links(table(s, d, "reviews"))
     return duplicate_groups(stash(links, "links"), members).withColumnRenamed("id", "review_id")
+
+
+@query()
+def p10_found(s, d):
+    pairs = span_pairs(*shared_spans(table(s, d, "documents")))
+    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+@query()
+def p10_spans(s, d):
+    """The spans themselves, between representatives of equal texts."""
+    spans, _ = shared_spans(table(s, d, "documents"))
+    return spans.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "at_a", "at_b", "chars")
+
+
+@query()
+def p10_shared(s, d):
+    docs = table(s, d, "documents")
+    spans, members = shared_spans(docs)
+    return shared_characters(docs, stash(spans, "spans"), members)
+
+
+@query(
+    "WITH u AS (SELECT doc_id, i, u, lower(trim(regexp_replace(u, '\\s+', ' ', 'g'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS u,"
+    " generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents) WHERE trim(u) <> ''),"
+    " k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(i) OVER w AS keep_i FROM u WINDOW w AS (PARTITION BY n ORDER BY doc_id, i))"
+    " SELECT doc_id, u AS text, keep_id FROM k WHERE doc_id <> keep_id OR i <> keep_i"
+)
+def p10_paragraphs(s, d):
+    """Whole paragraphs that stand before in this or another document."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return repeated_units(docs).select(F.col("id").alias("doc_id"), "text", "keep_id")
