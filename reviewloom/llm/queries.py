@@ -12,6 +12,7 @@ from reviewloom.llm.encode import encode_documents
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
 from reviewloom.llm.near_duplicates import duplicate_groups, similar_links, similar_pairs
+from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
@@ -145,3 +146,13 @@ def p10_paragraphs(s, d):
     """Whole paragraphs that stand before in this or another document."""
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return repeated_units(docs).select(F.col("id").alias("doc_id"), "text", "keep_id")
+
+
+@query()
+def p9_found(s, d):
+    return pack_documents(table(s, d, "documents")).filter("parts > 1 and part = 0").select("doc_id")
+
+
+@query()
+def p9_pack(s, d):
+    return pack_documents(table(s, d, "documents"))
