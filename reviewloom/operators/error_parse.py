@@ -56,7 +56,7 @@ _NAME = {"q": "quote", "c": "comma"}
 def cheapest_edits(raw: str, fields: int | None) -> list[str]:
     """Edits of the cheapest parse into `fields` fields (None: any number), as `insert|delete quote|comma @offset`.
 
-    Empty if the record parses as it is. Ties go to the first in the order: keep, delete, insert; quote, comma.
+    Empty if the record parses as it is. Of equally cheap repairs always the same one is given.
     """
     symbols, at = [], []
     for m in _SYMBOL.finditer(raw):
