@@ -26,15 +26,20 @@ from reviewloom.session import cut, stash
 SHINGLE = 3
 MIN_TOKENS = 25
 THRESHOLD = 0.5
-BANDS, ROWS = 32, 3
+COORDINATES, BANDS, ROWS = 80, 40, 4
 BUCKETS = 1 << 16
 #: Buckets of the banded join up to this size are paired in one task, larger ones in blocks of this size.
 BLOCK = 256
 #: Classes of exact copies up to this size are written out as pairs; larger ones as links to their first member.
 EXPAND = 32
 
-_LEVELS = 4
-_POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320], dtype=float))
+#: Weights are cut at 1/2 and 1/4; a level's cells are as tall as they are narrow, so each has area 1.
+_LEVELS = ((0.5, 1.0, 2), (0.25, 0.5, 4), (0.0, 0.25, 4))
+_TALLEST = 4
+#: Darts of a cell by the first 16 bits of its hash: the Poisson distribution of mean 1.
+_DARTS = np.searchsorted(np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], dtype=float)), (np.arange(1 << 16) + 0.5) / (1 << 16))
+#: Cells handled at a time, so that the arrays stay in the processor's cache.
+_CELLS = 60_000
 _U64 = np.uint64
 
 
@@ -63,73 +68,87 @@ def batch_shingles(texts: pa.Array, size: int, min_tokens: int) -> tuple[np.ndar
 def dart_signatures(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """(n_docs, k) dart ids. doc: 0-based, each with an element at least; x: element hashes; 0 < w <= 1."""
     sig = np.zeros((n_docs, k), dtype=_U64)
-    filled = np.zeros((n_docs, k), dtype=bool)
+    best = np.full((n_docs, k), np.inf)
     total = np.bincount(doc, weights=w, minlength=n_docs)
-    # ranks come in steps of 8, the height of the tallest cell
-    step = np.ceil((k * np.log(k) + 2 * k) / np.maximum(total, 1e-9) / 8).astype(np.int64)
+    # ranks come in steps of the height of the tallest cell
+    step = np.ceil((k * np.log(k) + 2 * k) / np.maximum(total, 1e-9) / _TALLEST).astype(np.int64)
     begin = np.zeros(n_docs, dtype=np.int64)
     active = np.ones(n_docs, dtype=bool)
     while active.any():
         todo = np.flatnonzero(active[doc])
-        # a bounded number of cells at a time
-        cost = np.cumsum(step[doc[todo]] * 8)
-        edges = np.searchsorted(cost, np.arange(0, cost[-1], 2_000_000))
+        cost = np.cumsum(step[doc[todo]] * _TALLEST)
+        edges = np.unique(np.searchsorted(cost, np.arange(0, cost[-1], _CELLS)))
         for a, b in zip(edges, [*edges[1:], len(todo)]):
-            if a < b:
-                _throw(todo[a:b], doc, x, w, begin, step, k, sig, filled)
+            _throw(todo[a:b], doc, x, w, begin, step, k, sig, best)
         begin += step * active
         step = np.maximum(step // 2, 1)
-        active = ~filled.all(axis=1)
+        active = np.isinf(best).any(axis=1)
     return sig
 
 
-def _throw(e, doc, x, w, begin, step, k, sig, filled) -> None:
-    """Darts of elements e in ranks [8·begin, 8·(begin+step)); later calls only reach later ranks of a record."""
-    ids, ranks, targets = [], [], []
-    for level in range(_LEVELS):
-        low = 2.0 ** -(level + 1) if level < _LEVELS - 1 else 0.0
-        high = 2.0**-level
-        tall = round(1 / (high - low))
-        el = e[w[e] > low]
-        if not len(el):
-            continue
-        per = step[doc[el]] * (8 // tall)
-        which = np.repeat(el, per)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(begin[doc[el]] * (8 // tall), per)
-        cell = mix64(x[which] + (place.astype(_U64) * _U64(_LEVELS) + _U64(level + 1)) * _U64(0xD1B54A32D192ED03))
-        count = np.searchsorted(_POISSON, (cell >> _U64(11)).astype(np.float64) * 2.0**-53, side="right")
-        for d in range(int(count.max()) if len(count) else 0):
-            has = count > d
-            dart = mix64(cell[has] + _U64((d + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
-            more = mix64(dart)
-            el_d, pl = which[has], place[has]
-            weight = low + (high - low) * ((more & _U64(0xFFFFF)).astype(np.float64) / 0x100000)
-            ok = weight < w[el_d]
-            rank = tall * (pl[ok] + ((more[ok] >> _U64(20)) & _U64(0xFFFFFF)).astype(np.float64) / 0x1000000)
-            coordinate = (dart[ok] >> _U64(32)).astype(np.int64) % k
-            ids.append(dart[ok])
-            ranks.append(rank)
-            targets.append(doc[el_d[ok]] * k + coordinate)
-    if not ids:
+def _throw(e, doc, x, w, begin, step, k, sig, best) -> None:
+    """Darts of elements e in ranks [begin, begin+step) x the tallest cell; keeps the earliest of each coordinate."""
+    we, de, xe = w[e], doc[e], x[e]
+    darts, ranks, owners = [], [], []
+    for level, (low, high, tall) in enumerate(_LEVELS):
+        i = np.flatnonzero(we > low)
+        per = step[de[i]] * (_TALLEST // tall)
+        which = np.repeat(i, per)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(per) - per - begin[de[i]] * (_TALLEST // tall), per)
+        cell = mix64(xe[which] + (place.astype(_U64) * _U64(len(_LEVELS)) + _U64(level + 1)) * _U64(0xD1B54A32D192ED03))
+        count = _DARTS[(cell >> _U64(48)).astype(np.int64)]
+        of = np.repeat(np.arange(len(cell)), count)
+        number = np.arange(1, len(of) + 1) - np.repeat(np.cumsum(count) - count, count)
+        # one hash gives all: coordinate, place in the weight range, place in the rank range
+        dart = mix64(cell[of] + number.astype(_U64) * _U64(0x9FB21C651E98DF25))
+        limit = np.clip((we - low) / (high - low) * 0x10000, 0, 0x10000).astype(np.int32)
+        own = which[of]
+        ok = np.flatnonzero(((dart >> _U64(24)) & _U64(0xFFFF)).astype(np.int32) < limit[own])
+        dart = dart[ok]
+        darts.append(dart)
+        owners.append(de[own[ok]])
+        ranks.append(tall * (place[of[ok]] + (dart & _U64(0xFFFFFF)).astype(np.float64) / 0x1000000))
+    dart, d, rank = np.concatenate(darts), np.concatenate(owners), np.concatenate(ranks)
+    if not len(dart):
         return
-    ids_, ranks_, target = np.concatenate(ids), np.concatenate(ranks), np.concatenate(targets)
-    by = np.lexsort((ranks_, target))
-    t = target[by]
-    first = by[np.concatenate([[True], t[1:] != t[:-1]])]
-    t = target[first]
-    d, c = t // k, t % k
-    new = ~filled[d, c]
-    sig[d[new], c[new]] = ids_[first[new]]
-    filled[d[new], c[new]] = True
-
-
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    target = d * k + (dart >> _U64(40)).astype(np.int64) % k
+    from_, to = int(de[0]), int(de[-1]) + 1
+    if len(dart) < 1 << 22 and (to - from_) * k < 1 << 20:
+        # target, rank within the record's steps and number of the dart in one word, for one plain sort
+        fine = ((rank - _TALLEST * begin[d]) * ((1 << 22) / (_TALLEST * step[d]))).astype(_U64)
+        word = ((target - from_ * k).astype(_U64) << _U64(44)) | (fine << _U64(22)) | np.arange(len(dart), dtype=_U64)
+        word.sort()
+        t = word >> _U64(44)
+        first = (word[np.concatenate([[True], t[1:] != t[:-1]])] & _U64(0x3FFFFF)).astype(np.int64)
+    else:
+        by = np.lexsort((rank, target))
+        first = by[np.concatenate([[True], target[by][1:] != target[by][:-1]])]
+    d, c = target[first] // k, target[first] % k
+    better = rank[first] < best[d, c]
+    d, c, first = d[better], c[better], first[better]
+    sig[d, c] = dart[first]
+    best[d, c] = rank[first]
+
+
+def band_layout(k: int, bands: int, rows: int) -> np.ndarray:
+    """(bands, rows) coordinates. Each round of k // rows bands uses every coordinate once, in another order, so that a
+    signature serves more bands than it could be cut into."""
+    strides = [x for x in range(1, k) if np.gcd(x, k) == 1]
+    out: list[np.ndarray] = []
+    for i in range(-(-bands // (k // rows))):
+        stride = 1 if i == 0 else next(x for x in strides if x > rows + 2 * i)
+        order = np.arange(k) * stride % k
+        out += list(order[: k // rows * rows].reshape(-1, rows))
+    return np.array(out[:bands])
+
+
+def band_keys(sig: np.ndarray, layout: np.ndarray) -> np.ndarray:
     """(n, bands) keys: records share one if they agree in all coordinates of the band."""
-    out = np.empty((len(sig), bands), dtype=_U64)
-    for b in range(bands):
+    out = np.empty((len(sig), len(layout)), dtype=_U64)
+    for b, coordinates in enumerate(layout):
         h = np.full(len(sig), mix64(np.array([b + 1], dtype=_U64))[0], dtype=_U64)
-        for j in range(rows):
-            h = mix64(h + sig[:, b * rows + j])
+        for j in coordinates:
+            h = mix64(h + sig[:, j])
         out[:, b] = h
     return out
 
@@ -177,7 +196,7 @@ def element_weights(reps: DataFrame, size: int, min_tokens: int) -> np.ndarray:
     return np.clip(1 - np.log(above) / np.log(records), 0.05, 1.0)
 
 
-def _bands(size: int, min_tokens: int, bands: int, rows: int, weights: np.ndarray):
+def _bands(size: int, min_tokens: int, k: int, layout: np.ndarray, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -187,10 +206,10 @@ def _bands(size: int, min_tokens: int, bands: int, rows: int, weights: np.ndarra
                     continue
                 present, doc = np.unique(r, return_inverse=True)
                 w = weights[(x >> _U64(48)).astype(np.int64)]
-                sig = dart_signatures(doc, x, w, len(present), bands * rows)
-                keys = band_keys(sig, bands, rows)
+                sig = dart_signatures(doc, x, w, len(present), k)
+                keys = band_keys(sig, layout)
                 ids = np.asarray(b.column(0))[present]
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], names=["key", "id"])
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, len(layout)))], names=["key", "id"])
 
     return run
 
@@ -291,6 +310,7 @@ def similar_links(
     size: int = SHINGLE,
     min_tokens: int = MIN_TOKENS,
     threshold: float = THRESHOLD,
+    coordinates: int = COORDINATES,
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +325,7 @@ def similar_links(
     ident = src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string")
     reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
     weights = element_weights(reps, size, min_tokens)
-    banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, bands, rows, weights), "key bigint, id bigint")
+    banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows), weights), "key bigint, id bigint")
     cands = stash(bucket_pairs(banded), "candidates")
     need = cands.select(F.col("a").alias("rep")).unionAll(cands.select(F.col("b").alias("rep"))).distinct()
     texts = reps.select("rep", "text").join(need, "rep", "left_semi")
