@@ -53,7 +53,7 @@ _LINK = re.compile(r"(!?)\[([^\[\]\n]*(?:\n(?!\n)[^\[\]\n]*)*)\]\(\s*<?[^\s()<>]
 _REFERENCE = re.compile(r"(!?)(?<!\[)\[([^\[\]\n]+(?:\n(?!\n)[^\[\]\n]+)*)\]\[([^\[\]\n]*)\]")
 _DEFINITION = re.compile(r"^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S+[^\n]*$", re.M)
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
-_RULER = re.compile(r"^[ \t]*(?=[^\n]*\|)\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$", re.M)
+_RULER = re.compile(r"^[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*\|?|\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?)[ \t]*$", re.M)
 
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^\n=](?:[^\n]*?[^\n=])?)[ \t]*\1[ \t]*$", re.M)
 _APOS = re.compile(r"''+")
@@ -62,7 +62,8 @@ _EXTERNAL = re.compile(r"\[((?:https?:|ftp:|mailto:)?//[^\s\[\]]+|mailto:[^\s\[\
 _TEMPLATE = re.compile(r"\{\{([^{}|\n]+)((?:\|[^{}]*)?)\}\}")
 _BRACE_TABLE = re.compile(r"^[ \t]*\{\|([^\n]*)\n(.*?)^[ \t]*\|\}", re.M | re.S)
 
-_COMMAND = re.compile(r"(?<!\\)(?<![A-Za-z]:)\\(?:[a-zA-Z]+\*?|['`^\"~=.][a-zA-Z{]|[,;:!%&_#{}]|\\[ \t]*(?=\n|$))")
+_COMMAND = re.compile(r"(?<!\\)\\(?:[a-zA-Z]+\*?|['`^\"~=.][a-zA-Z{]|[,;:!%&_#{}]|\\[ \t]*(?=\n|$))")
+_PATH = re.compile(r"\b[A-Za-z]:(?:\\[\w.$~-]+)+\\?")
 _DISPLAY = re.compile(r"(?<!\\)\$\$(?=[^$])(.+?)(?<!\\)\$\$|(?<!\\)\\\[(.+?)\\\]", re.S)
 _MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,500}?)(?<![\s\\])\$(?![\d$])|(?<!\\)\\\((.+?)\\\)", re.S)
 _EQUATION = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath|math)(\*?)\}(.*?)\\end\{\1\2\}", re.S)
@@ -83,6 +84,7 @@ def find_families(text: str | None) -> list[str]:
         found.append("html")
     # signs inside formulas and code belong to those
     formulas = [_EQUATION, _DISPLAY, _MATH] if "\\" in text or "$" in text else []
+    text = _PATH.sub(" ", text) if ":\\" in text else text
     bare = text
     for p in formulas:
         bare = p.sub(" ", bare)
@@ -118,7 +120,7 @@ def _is_markdown(t: str) -> bool:
         or "](" in t and _LINK.search(t)
         or "][" in t and _REFERENCE.search(t)
         or "]:" in t and _DEFINITION.search(t)
-        or "|" in t and "--" in t and _RULER.search(t)
+        or "|" in t and "-" in t and _RULER.search(t)
         or ("\n==" in t or "\n--" in t or "\n=\n" in t) and any(not _WIKI_HEAD.match(m[0].split("\n")[0]) for m in _SETEXT.finditer(t))
     )
 

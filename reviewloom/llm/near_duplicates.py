@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.arrow_tokens import encode_batch, hash_strings, mix64
-from reviewloom.session import cut, stash
+from reviewloom.session import cut, shuffle_partitions, stash
 
 SHINGLE = 3
 MIN_TOKENS = 25
@@ -30,6 +30,8 @@ COORDINATES, BANDS, ROWS = 80, 40, 4
 BUCKETS = 1 << 16
 #: Buckets of the banded join up to this size are paired in one task, larger ones in blocks of this size.
 BLOCK = 256
+#: Band rows per task of the banded join.
+ROWS_PER_TASK = 1_000_000
 #: Classes of exact copies up to this size are written out as pairs; larger ones as links to their first member.
 EXPAND = 32
 
@@ -273,10 +275,11 @@ def _pairs(block: int):
     return run
 
 
-def bucket_pairs(banded: DataFrame, block: int = BLOCK) -> DataFrame:
+def bucket_pairs(banded: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of ids that share a key. Every pair of a bucket is made, the larger buckets' in blocks
-    that spread over the cluster: an id meets one block of its bucket per task."""
-    s = banded.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint")
+    that spread over the cluster: an id meets one block of its bucket per task. n_rows sets the number of tasks."""
+    parts = max(shuffle_partitions(banded.sparkSession), -(-n_rows // ROWS_PER_TASK))
+    s = banded.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint")
     s = stash(s, "bucket-pairs")
     small = s.filter("b is not null").select("a", "b")
     big = s.filter("b is null").select("key", F.col("a").alias("id"))
@@ -326,7 +329,7 @@ def similar_links(
     reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
     weights = element_weights(reps, size, min_tokens)
     banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows), weights), "key bigint, id bigint")
-    cands = stash(bucket_pairs(banded), "candidates")
+    cands = stash(bucket_pairs(banded, reps.count() * bands), "candidates")
     need = cands.select(F.col("a").alias("rep")).unionAll(cands.select(F.col("b").alias("rep"))).distinct()
     texts = reps.select("rep", "text").join(need, "rep", "left_semi")
     with_a = cands.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
