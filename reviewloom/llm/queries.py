@@ -57,9 +57,15 @@ def p2_found(s, d):
     return distinctive_terms(_texts(s, d)).filter("tf >= 3 and df between 2 and 5").select("review_id", "token")
 
 
-@query()
+@query(
+    f"WITH {_POST}, w AS (SELECT review_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS token, generate_subscripts(regexp_extract_all(text, '[a-zA-Z0-9]+'), 1) AS i FROM r),"
+    " e AS (SELECT a.review_id, a.token AS x, b.token AS y FROM w a JOIN w b ON a.review_id = b.review_id AND b.i IN (a.i + 1, a.i + 2, a.i + 3) WHERE a.token <> b.token),"
+    " g AS (SELECT review_id, token, count(DISTINCT n) AS degree FROM (SELECT review_id, x AS token, y AS n FROM e UNION ALL SELECT review_id, y, x FROM e) GROUP BY ALL)"
+    " SELECT review_id, token, tf, coalesce(degree, 0) AS degree, df, round(coalesce(degree, 0) * ln(((SELECT count(*) FROM r) + 1) / CAST(df AS DOUBLE)), 6) AS score"
+    " FROM post JOIN stats USING (token) LEFT JOIN g USING (review_id, token)"
+)
 def p2_scores(s, d):
-    """Every token of every review with its score; the graph's degree has no practical SQL at this size."""
+    """Every token of every review with its score."""
     return distinctive_terms(_texts(s, d)).withColumn("score", F.round("score", 6))
 
 
@@ -103,7 +109,18 @@ def p8_ids(s, d):
     return encode_documents(table(s, d, "documents"))
 
 
-@query()
+@query(
+    f"WITH {_R}, t AS (SELECT review_id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)) AS l FROM r),"
+    " s AS (SELECT DISTINCT review_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM t WHERE len(l) >= 25),"
+    " f AS (SELECT g, count(*) AS f FROM s GROUP BY 1),"
+    " o AS (SELECT review_id, g, row_number() OVER (PARTITION BY review_id ORDER BY f, g) AS k, count(*) OVER (PARTITION BY review_id) AS n FROM s JOIN f USING (g)),"
+    # two sets with a similarity of a half share one of their rarest half of runs
+    " p AS (SELECT review_id, g FROM o WHERE k <= n - ceil(n / 2.0) + 1),"
+    " c AS (SELECT DISTINCT a.review_id AS a, b.review_id AS b FROM p a JOIN p b ON a.g = b.g AND a.review_id < b.review_id),"
+    " m AS (SELECT a, b, count(*) AS shared FROM c JOIN s x ON x.review_id = a JOIN s y ON y.review_id = b AND y.g = x.g GROUP BY ALL),"
+    " n AS (SELECT review_id, count(*) AS n FROM s GROUP BY 1)"
+    " SELECT a AS review_a, b AS review_b FROM m JOIN n x ON x.review_id = a JOIN n y ON y.review_id = b WHERE shared * 2 >= x.n + y.n - shared"
+)
 def p6_found(s, d):
     pairs = similar_pairs(*similar_links(table(s, d, "reviews")))
     return pairs.select(F.col("a").alias("review_a"), F.col("b").alias("review_b"))
@@ -116,7 +133,15 @@ def p6_groups(s, d):
     return duplicate_groups(stash(links, "links"), members).withColumnRenamed("id", "review_id")
 
 
-@query()
+@query(
+    "WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),"
+    " a AS (SELECT doc_id, unnest(range(1, n - 98, 100)) AS i, text FROM t), b AS (SELECT doc_id, unnest(range(1, n - 98)) AS j, text FROM t),"
+    " x AS (SELECT doc_id AS a, i, md5(substr(text, i, 100)) AS h FROM a), y AS (SELECT doc_id AS b, j, md5(substr(text, j, 100)) AS h FROM b),"
+    # a span of 200 characters holds a run of 100 that begins at a multiple of 100 in either text
+    " c AS (SELECT a, i, b, j, unnest(range(0, 101)) AS o FROM x JOIN y USING (h) WHERE a <> b),"
+    " m AS (SELECT DISTINCT a, b FROM c JOIN t u ON u.doc_id = a JOIN t v ON v.doc_id = b WHERE i > o AND j > o AND i - o + 199 <= u.n AND j - o + 199 <= v.n AND substr(u.text, i - o, 200) = substr(v.text, j - o, 200))"
+    " SELECT DISTINCT least(a, b) AS doc_a, greatest(a, b) AS doc_b FROM m"
+)
 def p10_found(s, d):
     pairs = span_pairs(*shared_spans(table(s, d, "documents")))
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
