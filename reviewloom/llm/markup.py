@@ -36,16 +36,18 @@ _CONTAINERS = frozenset("body div section article main aside nav header footer t
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 _TAG = re.compile(r"</?(?:" + "|".join(sorted(_ELEMENTS, key=len, reverse=True)) + r")(?:\s[^<>]*|\s*/)?>", re.I)
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_COMMENT = re.compile(r"<!--(?:(?!<!--).)*?-->", re.S)
 _DOCTYPE = re.compile(r"<!doctype\s[^>]*>", re.I)
 _CHARREF = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
 
+# In the patterns below no content may hold its own opening sign again, and line contents are matched possessively: a text
+# full of signs that are never closed takes linear time.
 _SPECIAL = re.compile(r"[<&#*_~`\[{|=$\\]|''|^-{3,}", re.M)
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _TICKS = re.compile(r"(?<!`)(`{1,2})(?!`)([^\n]+?)(?<!`)\1(?!`)")
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", re.M)
-_SETEXT = re.compile(r"^(?! {4})(?![ \t]*(?:[-*+|>]|\{\|)[ \t\n])([^\n]*\S[^\n]*)\n {0,3}(=+|-{2,})[ \t]*$", re.M)
+_SETEXT = re.compile(r"^(?! {4})(?![ \t]*(?:[-*+|>]|\{\|)[ \t\n])(?=[ \t]*\S)([^\n]++)\n {0,3}(=+|-{2,})[ \t]*$", re.M)
 _STAR = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])((?:[^*\n]|\n(?!\s*\n))+?)(?<![\s\\])\1(?!\*)")
 _UNDER = re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])((?:[^_\n]|(?<=\w)_(?=\w)|\n(?!\s*\n))+?)(?<![\s\\])\1(?!\w)")
 _STRIKE = re.compile(r"(?<!~)~~(?![\s~])((?:[^~\n]|\n(?!\s*\n))+?)(?<!\s)~~(?!~)")
@@ -60,14 +62,14 @@ _APOS = re.compile(r"''+")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n]+(?:\n(?!\n)[^\[\]\n]+)*)\]\]")
 _EXTERNAL = re.compile(r"\[((?:https?:|ftp:|mailto:)?//[^\s\[\]]+|mailto:[^\s\[\]]+)([ \t]+[^\[\]\n]*(?:\n(?!\n)[^\[\]\n]*)*)?\]")
 _TEMPLATE = re.compile(r"\{\{([^{}|\n]+)((?:\|[^{}]*)?)\}\}")
-_BRACE_TABLE = re.compile(r"^[ \t]*\{\|([^\n]*)\n(.*?)^[ \t]*\|\}", re.M | re.S)
+_BRACE_TABLE = re.compile(r"^[ \t]*\{\|([^\n]*)\n((?:(?!^[ \t]*\{\|).)*?)^[ \t]*\|\}", re.M | re.S)
 
 _COMMAND = re.compile(r"(?<!\\)\\(?:[a-zA-Z]+\*?|['`^\"~=.][a-zA-Z{]|[,;:!%&_#{}]|\\[ \t]*(?=\n|$))")
 _PATH = re.compile(r"\b[A-Za-z]:(?:\\[\w.$~-]+)+\\?")
-_DISPLAY = re.compile(r"(?<!\\)\$\$(?=[^$])(.+?)(?<!\\)\$\$|(?<!\\)\\\[(.+?)\\\]", re.S)
-_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,500}?)(?<![\s\\])\$(?![\d$])|(?<!\\)\\\((.+?)\\\)", re.S)
-_EQUATION = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath|math)(\*?)\}(.*?)\\end\{\1\2\}", re.S)
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?\n?(.*?)\\end\{\1\}", re.S)
+_DISPLAY = re.compile(r"(?<!\\)\$\$(?=[^$])(.+?)(?<!\\)\$\$|(?<!\\)\\\[((?:(?!\\\[).)+?)\\\]", re.S)
+_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,500}?)(?<![\s\\])\$(?![\d$])|(?<!\\)\\\(((?:(?!\\\().)+?)\\\)", re.S)
+_EQUATION = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath|math)(\*?)\}((?:(?!\\begin\{\1).)*?)\\end\{\1\2\}", re.S)
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?\n?((?:(?!\\begin\{\1\}).)*?)\\end\{\1\}", re.S)
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}")
 
 
@@ -373,7 +375,7 @@ _WORDS = {"dots": "…", "ldots": "…", "textbackslash": "\\", "LaTeX": "LaTeX"
 _DROPPED = frozenset("ref cite label eqref pageref citep citet bibliography bibliographystyle usepackage documentclass index vspace hspace".split())
 _GROUP = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 _WITH_ARG = re.compile(r"\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?" + _GROUP)
-_TABULAR = re.compile(r"\\begin\{(tabular|array)\*?\}(?:\{[^}\n]*\})?(.*?)\\end\{\1\*?\}", re.S)
+_TABULAR = re.compile(r"\\begin\{(tabular|array)\*?\}(?:\{[^}\n]*\})?((?:(?!\\begin\{\1).)*?)\\end\{\1\*?\}", re.S)
 
 
 def _from_latex(t: str, m: _Marks) -> str:

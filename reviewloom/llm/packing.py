@@ -184,12 +184,12 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", capa
 
     A document of more than `capacity` tokens is cut into full containers and a rest, which is packed like any other
     item; no other document is cut. Null and empty texts have 0 tokens and take a place without room. Ids must be unique
-    bigints; an empty table gives an empty table; other columns are ignored.
+    bigints, and rows without one are left out; an empty table gives an empty table; other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     path = path or tokenizer_path()
-    src = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    src = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     fields = "id bigint, n_tokens bigint, terms array<int>, tfs array<int>"
     m = stash(src.mapInArrow(_measure(path), fields), "measured")
     n, total = m.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).head()
