@@ -34,6 +34,12 @@ def query_terms(spark, query: str) -> DataFrame:
     return spark.createDataFrame([(query,)], "q string").select(F.explode(tokens("q")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("q_tf"))
 
 
+def matching_postings(query: str, post: DataFrame) -> DataFrame:
+    """The postings of the query's terms only. The semi-join goes below the aggregate that makes postings from texts, so
+    no other term is counted or moved."""
+    return post.join(F.broadcast(query_terms(post.sparkSession, query).select("token")), "token", "left_semi")
+
+
 def vector_space_search(query: str, post: DataFrame, stats: DataFrame, n_reviews: int, p: RankParams = RankParams()) -> DataFrame:
     """(review_id, score, rank) of every review sharing a term with the query, best first, ties by id.
 

@@ -342,7 +342,7 @@ def product_quality(s, d):
 
 def _hits(s, d):
     r = _reviews(s, d, "text")
-    post = build.postings(r)
+    post = rank.matching_postings(QUERY, build.postings(r))
     return rank.vector_space_search(QUERY, post, build.token_stats(post), r.count())
 
 
