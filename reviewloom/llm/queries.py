@@ -13,7 +13,7 @@ from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
 from reviewloom.llm.near_duplicates import duplicate_groups, similar_links, similar_pairs
 from reviewloom.llm.packing import pack_documents
-from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs
+from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
 from reviewloom.session import stash
@@ -181,3 +181,10 @@ def p9_found(s, d):
 @query()
 def p9_pack(s, d):
     return pack_documents(table(s, d, "documents"))
+
+
+@query()
+def p10_deduplicated(s, d):
+    """Every text without the paragraphs that stand before elsewhere, and where its paragraphs stood."""
+    c = without_repeats(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return c.select(F.col("id").alias("doc_id"), "text", F.transform("kept", lambda k: F.concat_ws("+", k["at"], k["chars"])).alias("kept"))

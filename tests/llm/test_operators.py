@@ -23,7 +23,7 @@ from reviewloom.llm.near_duplicates import (
     similar_pairs,
 )
 from reviewloom.llm.packing import pack_documents
-from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs
+from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
 from reviewloom.session import stash
 
@@ -392,3 +392,8 @@ def test_repeated_units(spark):
     assert repeated_units(df.limit(0)).count() == 0
     lines = spark.createDataFrame([(1, "a\nb\na")], "id bigint, text string")
     assert [(r["at"], r.keep_at) for r in repeated_units(lines, "line").collect()] == [(4, 0)]
+    clean = {r.id: (r.text, r.kept and [tuple(k) for k in r.kept]) for r in without_repeats(df).collect()}
+    assert clean == {1: ("One  para.\n\nTwo", [(0, 10), (12, 3)]), 2: ("x\n\n\n\ny", [(0, 1), (9, 0), (11, 1)]), 3: (None, None), 4: ("", [(0, 0)]), 5: ("", [])}
+    original = dict(docs)
+    for i, (t, kept) in clean.items():
+        assert t is None or t == "\n\n".join(original[i][a : a + n] for a, n in kept)
