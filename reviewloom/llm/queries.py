@@ -154,7 +154,14 @@ def p10_spans(s, d):
     return spans.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "at_a", "at_b", "chars")
 
 
-@query()
+@query(
+    "WITH t AS (SELECT doc_id, unnest(range(1, length(text) - 198)) AS i, text FROM documents WHERE length(text) >= 200),"
+    " w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM t),"
+    " k AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),"
+    " c AS (SELECT doc_id, least(200, lead(i, 1, i + 200) OVER (PARTITION BY doc_id ORDER BY i) - i) AS n FROM w SEMI JOIN k USING (h)),"
+    " u AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1)"
+    " SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS shared_chars FROM documents LEFT JOIN u USING (doc_id)"
+)
 def p10_shared(s, d):
     docs = table(s, d, "documents")
     spans, members = shared_spans(docs)
