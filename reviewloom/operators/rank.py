@@ -87,15 +87,34 @@ def review_weights(reviews: DataFrame, p: RankParams = RankParams()) -> DataFram
     return j.select("review_id", "product_id", "score", "helpfulness_norm", "length_norm", w.alias("weight"))
 
 
-def product_quality(weights: DataFrame, p: RankParams = RankParams()) -> DataFrame:
-    """(product_id, quality): mean of weight·score times ln(number of reviews + 1); a null score counts as 0."""
-    ws = F.col("weight") * F.coalesce("score", F.lit(0))
-    how = {
-        "mean": F.avg(ws),
-        "sum": F.sum(ws),
-        "weighted_mean": F.coalesce(F.try_divide(F.sum(ws), F.sum("weight")), F.lit(0.0)),
-    }[p.quality]
-    return weights.groupBy("product_id").agg((how * F.log(F.count(F.lit(1)) + 1)).alias("quality"))
+def product_quality(reviews: DataFrame, p: RankParams = RankParams()) -> DataFrame:
+    """(product_id, quality): mean of weight·score times ln(number of reviews + 1); a null score counts as 0.
+
+    The maxima that normalise the weights are the same for all reviews of a product, so they leave the sums:
+    Σ weight·score = half·Σ(score·length)/max length + (1-half)·Σ(score·num)/max denom. One map-side combined
+    aggregate over exact integer sums gives everything, without joining reviews to their maxima.
+    """
+    s = F.coalesce(F.col("score"), F.lit(0)).cast("bigint")
+    num = F.when(F.col("helpfulness_denom") > 0, F.coalesce("helpfulness_num", F.lit(0)).cast("bigint")).otherwise(F.lit(0))
+    length = F.coalesce(F.col("length"), F.lit(0))
+    g = (
+        reviews.filter("product_id is not null")
+        .groupBy("product_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("length").alias("ml"),
+            F.max("helpfulness_denom").alias("md"),
+            F.sum(s * length).alias("sl"),
+            F.sum(s * num).alias("sh"),
+            F.sum(length).alias("l"),
+            F.sum(num).alias("h"),
+        )
+    )
+    per = lambda x, most: F.when(F.col(most) > 0, F.col(x).cast("double") / F.col(most)).otherwise(0.0)
+    ws = p.half * per("sl", "ml") + (1 - p.half) * per("sh", "md")
+    w = p.half * per("l", "ml") + (1 - p.half) * per("h", "md")
+    how = {"mean": ws / F.col("n"), "sum": ws, "weighted_mean": F.when(w > 0, ws / w).otherwise(0.0)}[p.quality]
+    return g.select("product_id", (how * F.log(F.col("n") + 1)).alias("quality"))
 
 
 def product_relevance(hits: DataFrame, weights: DataFrame, p: RankParams = RankParams()) -> DataFrame:

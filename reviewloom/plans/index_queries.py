@@ -316,8 +316,12 @@ def product_reviews_range(s, d):
     return lookup.product_reviews_range(_product_probes(r), build.product_spans(r))
 
 
+def _rated(s, d):
+    return _reviews(s, d, "product_id", *lookup.ATTRIBUTES)
+
+
 def _weights(s, d):
-    return rank.review_weights(_reviews(s, d, "product_id", *lookup.ATTRIBUTES))
+    return rank.review_weights(_rated(s, d))
 
 
 @query(_R + _WEIGHTS + " SELECT review_id, round(hn, 6) AS value FROM ww")
@@ -337,7 +341,7 @@ def review_weight(s, d):
 
 @query(_QUALITY + " SELECT product_id, round(quality, 6) AS quality FROM quality")
 def product_quality(s, d):
-    return rank.product_quality(_weights(s, d)).select("product_id", F.round("quality", 6).alias("quality"))
+    return rank.product_quality(_rated(s, d)).select("product_id", F.round("quality", 6).alias("quality"))
 
 
 def _hits(s, d):
@@ -357,8 +361,8 @@ def product_relevance(s, d):
 
 
 def _ranked(s, d):
-    w = _weights(s, d)
-    return rank.product_rank(rank.product_relevance(_hits(s, d), w), rank.product_quality(w))
+    r = _rated(s, d)
+    return rank.product_rank(rank.product_relevance(_hits(s, d), rank.review_weights(r)), rank.product_quality(r))
 
 
 @query(_RANK + " SELECT product_id, round(quality, 6) AS quality, round(relevance, 6) AS relevance, round(rank_value, 6) AS rank_value FROM ranked")

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from conftest import MINI
 from pyspark.sql import functions as F
@@ -168,11 +170,18 @@ def test_ranking(spark, mini, post):
     assert got == {1: 0.875, 2: 0.071429, 3: 0.75, 4: 0.0, 5: 1.0}
     hits = rank.vector_space_search("good coffee", post, build.token_stats(post), 5)
     assert [(r.review_id, round(r.score, 6), r["rank"]) for r in hits.orderBy("rank").collect()] == [(1, 1.627074, 1), (3, 1.627074, 2)]
-    q = rank.product_quality(w)
+    q = rank.product_quality(mini)
     assert {r.product_id: round(r.quality, 6) for r in q.collect()} == {"B000000001": 2.560159, "B000000002": 0.519860, "B000000003": 1.098612}
     ranked = rank.product_rank(rank.product_relevance(hits, w), q)
     top = rank.product_search(ranked).collect()
     assert [(r.product_id, round(r.rank_value, 6)) for r in top] == [("B000000001", 3.830548), ("B000000002", 1.468458)]
+    by = {}
+    for r in w.collect():
+        by.setdefault(r.product_id, []).append((r.weight, r.score))
+    want = {"sum": lambda v: sum(a * b for a, b in v), "weighted_mean": lambda v: sum(a * b for a, b in v) / sum(a for a, _ in v)}
+    for how, f in want.items():
+        got = {r.product_id: r.quality for r in rank.product_quality(mini, rank.RankParams(quality=how)).collect()}
+        assert got == {k: pytest.approx(f(v) * math.log(len(v) + 1)) for k, v in by.items()}
     assert rank.vector_space_search("zzz", post, build.token_stats(post), 5).count() == 0
 
 
