@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.tokens import token_count, tokens
 from reviewloom.operators.numbering import dense_index, global_prefix
+from reviewloom.operators.term_counts import tf_histogram
 
 #: Postings of a token are kept in segments of this many review ids, so no list grows without bound.
 SEGMENT = 65_536
@@ -27,9 +28,15 @@ def token_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def token_dictionary(post: DataFrame) -> DataFrame:
-    """(token_num, token, df, cf, token_length) in token order, numbers dense from 0."""
-    d = dense_index(token_stats(post), [F.col("token")], "token_num")
+def token_stats_of(reviews: DataFrame) -> DataFrame:
+    """The same straight from review texts: counted per Arrow batch, so the (token, review) pairs are never grouped."""
+    h = tf_histogram(reviews)
+    return h.groupBy("token").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("cf"))
+
+
+def token_dictionary(stats: DataFrame) -> DataFrame:
+    """(token_num, token, df, cf, token_length) in token order, numbers dense from 0, of (token, df, cf)."""
+    d = dense_index(stats, [F.col("token")], "token_num")
     return d.select("token_num", "token", "df", "cf", F.length("token").cast("int").alias("token_length"))
 
 
@@ -64,9 +71,10 @@ def products(reviews: DataFrame) -> DataFrame:
     return p.select("product_num", "product_id", "first_review_id", "span_length", "n_reviews")
 
 
-def corpus_stats(reviews: DataFrame, post: DataFrame) -> DataFrame:
-    """One row: n_reviews, n_tokens, n_distinct_tokens, n_products. Zeros for an empty corpus."""
-    t = token_stats(post).agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct_tokens"))
+def corpus_stats(reviews: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: n_reviews, n_tokens, n_distinct_tokens, n_products, with the (token, df, cf) of the reviews. Zeros for an
+    empty corpus."""
+    t = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct_tokens"))
     r = reviews.agg(F.count(F.lit(1)).alias("n_reviews"))
     p = reviews.filter("product_id is not null").groupBy("product_id").agg(F.lit(1).alias("x")).agg(F.count(F.lit(1)).alias("n_products"))
     # three one-row tables side by side
@@ -95,15 +103,18 @@ def postings_gaps(post: DataFrame) -> DataFrame:
     """(token, review_id, gap, tf): the distance to the token's previous review, the first id kept.
 
     Gaps are taken inside (token, segment) groups; the first row of a segment looks up the last id of the segment
-    before in a table of segment ends. A token in every review is thus spread over many tasks.
+    before in a table of segment ends, which comes from the same exchange. A token in every review is thus spread over
+    many tasks.
     """
     from pyspark.sql import Window
 
-    s = post.withColumn("_s", segment(F.col("review_id")))
+    s = post.withColumn("_s", segment(F.col("review_id"))).repartition("token", "_s")
     w = Window.partitionBy("token", "_s").orderBy("review_id")
     inner = s.withColumn("_prev", F.lag("review_id").over(w))
-    ends = s.groupBy("token", "_s").agg(F.max("review_id").alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("token").orderBy("_s"))).filter("_before is not null").drop("_end")
+    # tf travels along so that both uses of the exchange want the same columns
+    ends = s.groupBy("token", "_s").agg(F.max(F.struct("review_id", "tf")).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("token").orderBy("_s"))).filter("_before is not null")
+    before = before.select("token", "_s", F.col("_before.review_id").alias("_before"))
     j = inner.join(before, ["token", "_s"], "left")
     gap = F.col("review_id") - F.coalesce("_prev", "_before", F.lit(0))
     return j.select("token", "review_id", gap.alias("gap"), "tf")

@@ -89,6 +89,10 @@ def _post(s: SparkSession, d: str) -> DataFrame:
     return build.postings(_reviews(s, d, "text"))
 
 
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    return build.token_stats_of(_reviews(s, d, "text"))
+
+
 @query(_OCC + " SELECT review_id, token FROM occ")
 def tokenize_explode(s, d):
     return build.occurrences(_reviews(s, d, "text"))
@@ -101,12 +105,12 @@ def postings(s, d):
 
 @query(_STATS + " SELECT token, df FROM stats")
 def token_df(s, d):
-    return build.token_stats(_post(s, d)).select("token", "df")
+    return _stats(s, d).select("token", "df")
 
 
 @query(_STATS + " SELECT token, cf FROM stats")
 def token_cf(s, d):
-    return build.token_stats(_post(s, d)).select("token", "cf")
+    return _stats(s, d).select("token", "cf")
 
 
 @query(
@@ -115,7 +119,7 @@ def token_cf(s, d):
 )
 def corpus_stats(s, d):
     r = _reviews(s, d, "text", "product_id")
-    return build.corpus_stats(r, build.postings(r))
+    return build.corpus_stats(r, build.token_stats_of(r))
 
 
 @query(_R + " SELECT review_id, CAST(coalesce(len(regexp_extract_all(text, '[a-zA-Z0-9]+')), 0) AS BIGINT) AS length FROM r")
@@ -152,7 +156,7 @@ def product_numbers(s, d):
 
 @query(_DICT + " SELECT token_num, token, df, cf, token_length FROM dict")
 def token_dictionary(s, d):
-    return build.token_dictionary(_post(s, d))
+    return build.token_dictionary(_stats(s, d))
 
 
 @query(_POST + f" SELECT token, {_SEG} AS segment, string_agg(review_id || ',' || tf, ',' ORDER BY review_id) AS postings FROM post GROUP BY ALL")
@@ -249,12 +253,12 @@ def group_varint_roundtrip(s, d):
     " CASE WHEN o = 0 THEN CAST(coalesce(sum(length(suffix)) OVER (ORDER BY token_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS pointer FROM fs"
 )
 def front_coding(s, d):
-    return codecs.front_coding(build.token_dictionary(_post(s, d)))
+    return codecs.front_coding(build.token_dictionary(_stats(s, d)))
 
 
 @query(_DICT + " SELECT token_num, token FROM dict")
 def front_coding_roundtrip(s, d):
-    return codecs.front_decoding(codecs.front_coding(build.token_dictionary(_post(s, d))))
+    return codecs.front_decoding(codecs.front_coding(build.token_dictionary(_stats(s, d))))
 
 
 def _token_probes(s):
@@ -273,12 +277,12 @@ def _product_probes(r):
 
 @query(_DICT + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, coalesce(token_num, -1) AS token_num FROM probes LEFT JOIN dict ON lower(probe) = token")
 def token_lookup(s, d):
-    return lookup.token_numbers(_token_probes(s), build.token_dictionary(_post(s, d)))
+    return lookup.token_numbers(_token_probes(s), build.token_dictionary(_stats(s, d)))
 
 
 @query(_STATS + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf FROM probes LEFT JOIN stats ON lower(probe) = token")
 def token_freq_lookup(s, d):
-    return lookup.token_frequencies(_token_probes(s), build.token_stats(_post(s, d)))
+    return lookup.token_frequencies(_token_probes(s), _stats(s, d))
 
 
 @query(_POST + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, review_id, tf FROM probes JOIN post ON lower(probe) = token")

@@ -34,7 +34,7 @@ def write_index(reviews: DataFrame, path: str) -> None:
     post = build.postings(reviews)
     _sorted(post, "token", "review_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.schema(schemas.POSTINGS).parquet(f"{path}/postings")
-    _sorted(build.token_dictionary(stored), "token").write.mode("overwrite").parquet(f"{path}/tokens")
+    _sorted(build.token_dictionary(build.token_stats(stored)), "token").write.mode("overwrite").parquet(f"{path}/tokens")
 
 
 def open_index(spark: SparkSession, path: str) -> IndexReader:

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from conftest import MINI
 from pyspark.sql import functions as F
 
 from reviewloom.functions import codecs
@@ -61,7 +60,8 @@ def test_arrow_tokenizer_agrees(spark):
 
 
 def test_dictionary_and_postings(mini, post):
-    d = build.token_dictionary(post).collect()
+    assert rows(build.token_stats_of(mini)) == rows(build.token_stats(post))
+    d = build.token_dictionary(build.token_stats(post)).collect()
     assert sorted((str(r.token_num), r.token, str(r.df), str(r.cf)) for r in d) == sorted(tuple(x[:4]) for x in ROWS)
     assert all(r.token_length == len(r.token) for r in d)
     assert {(r.token, r.postings) for r in build.postings_flat(post).collect()} == {(x[1], x[4]) for x in ROWS}
@@ -82,7 +82,7 @@ def test_bytes_and_offsets(post):
 
 
 def test_front_coding(post):
-    d = build.token_dictionary(post)
+    d = build.token_dictionary(build.token_stats(post))
     got = {(r.token_num, "-" if r.prefix_len is None else str(r.prefix_len), r.suffix, "-" if r.pointer is None else str(r.pointer)) for r in codecs.front_coding(d).collect()}
     assert got == {(int(x[0]), x[7], x[8], x[9]) for x in ROWS}
 
@@ -99,7 +99,7 @@ def test_front_coding_sizes(spark, n):
 
 
 def test_stats_and_tables(mini, post):
-    s = build.corpus_stats(mini, post).collect()
+    s = build.corpus_stats(mini, build.token_stats_of(mini)).collect()
     assert [tuple(r) for r in s] == [(5, 20, 13, 3)]
     assert [r.length for r in mini.orderBy("review_id").collect()] == [7, 1, 6, 0, 6]
     assert [r.score for r in mini.orderBy("review_id").collect()] == [5, 4, 1, 3, 2]
@@ -110,10 +110,10 @@ def test_stats_and_tables(mini, post):
 def test_empty_tables(spark, mini):
     e = mini.limit(0)
     post = build.postings(e)
-    assert build.token_dictionary(post).count() == 0
-    assert [tuple(r) for r in build.corpus_stats(e, post).collect()] == [(0, 0, 0, 0)]
+    assert build.token_dictionary(build.token_stats(post)).count() == 0
+    assert [tuple(r) for r in build.corpus_stats(e, build.token_stats_of(e)).collect()] == [(0, 0, 0, 0)]
     assert build.products(e).count() == 0
-    assert codecs.front_coding(build.token_dictionary(post)).count() == 0
+    assert codecs.front_coding(build.token_dictionary(build.token_stats(post))).count() == 0
     assert rank.vector_space_search("good", post, build.token_stats(post), 0).count() == 0
 
 
