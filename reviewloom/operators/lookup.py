@@ -40,8 +40,10 @@ def token_numbers(probes: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def token_postings(probes: DataFrame, post: DataFrame) -> DataFrame:
-    """(probe, review_id, tf)."""
-    p = post.select(F.col("token").alias("_t"), "review_id", "tf")
+    """(probe, review_id, tf). A semi-join goes before the join: Catalyst can put it below the aggregate that makes
+    postings from texts, so that only the probed tokens are grouped."""
+    wanted = probes.select(fold("probe").alias("token")).distinct()
+    p = post.join(wanted, "token", "left_semi").select(F.col("token").alias("_t"), "review_id", "tf")
     return probes.select("probe").join(p, fold("probe") == F.col("_t")).select("probe", "review_id", "tf")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import codecs
 from reviewloom.operators import build, lookup, rank
 from reviewloom.operators.reviews import current_reviews
+from reviewloom.session import stash
 from reviewloom.sources.dump import parse_records
 from reviewloom.sources.tables import documents_as_reviews, table
 
@@ -262,7 +263,8 @@ def front_coding_roundtrip(s, d):
 
 
 def _token_probes(s):
-    return s.createDataFrame([(t,) for t in TOKEN_PROBES], "probe string")
+    # an expression of known size, so that Catalyst can see it is small
+    return s.range(1).select(F.explode(F.array(*map(F.lit, TOKEN_PROBES))).alias("probe"))
 
 
 def _review_probes(s, r):
@@ -350,8 +352,10 @@ def product_quality(s, d):
 
 def _hits(s, d):
     r = _reviews(s, d, "text")
-    post = rank.matching_postings(QUERY, build.postings(r))
-    return rank.vector_space_search(QUERY, post, build.token_stats(post), r.count())
+    # read by the frequencies and by the scores
+    post = stash(rank.matching_postings(QUERY, build.postings(r)), "matching-postings")
+    n = table(s, d, "reviews").agg(F.count_distinct("review_id")).head()[0]
+    return rank.vector_space_search(QUERY, post, build.token_stats(post), n)
 
 
 @query(_SEARCH + " SELECT review_id, round(score, 6) AS score, rank FROM hits")
