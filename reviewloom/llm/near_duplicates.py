@@ -279,7 +279,7 @@ def bucket_pairs(banded: DataFrame, n_rows: int, block: int = BLOCK) -> DataFram
     """Distinct (a, b), a < b, of ids that share a key. Every pair of a bucket is made, the larger buckets' in blocks
     that spread over the cluster: an id meets one block of its bucket per task. n_rows sets the number of tasks."""
     parts = max(shuffle_partitions(banded.sparkSession), -(-n_rows // ROWS_PER_TASK))
-    s = banded.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint")
+    s = banded.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint")
     s = stash(s, "bucket-pairs")
     small = s.filter("b is not null").select("a", "b")
     big = s.filter("b is null").select("key", F.col("a").alias("id"))
@@ -325,7 +325,8 @@ def similar_links(
     tables. Candidates agree in `rows` coordinates of one of `bands` bands, then the exact similarity decides.
     """
     src = records.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    ident = src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string")
+    # read for the representatives, and without the texts for the members
+    ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string"), "identified")
     reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
     weights = element_weights(reps, size, min_tokens)
     banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows), weights), "key bigint, id bigint")
@@ -335,8 +336,7 @@ def similar_links(
     with_a = cands.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     links = with_b.select("a", "b", "ta", "tb").mapInArrow(_check(size, min_tokens, threshold), "a bigint, b bigint, similarity double")
-    again = src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string").select("id", "h1", "h2").distinct()
-    members = again.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+    members = ident.select("id", "h1", "h2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     return links, members
 
 
