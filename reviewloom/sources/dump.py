@@ -22,18 +22,25 @@ def field(record: Column | str, name: str, join_lines: str | None = None) -> Col
     return v if join_lines is None else F.regexp_replace(v, "\n", join_lines)
 
 
+ORDER = ("file", "block", "pos")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, record): raw records with a number that ascends in file order. Text before the first record is dropped.
+    """(file, block, pos, record): raw records, which ascend in file order by those three. Text of a file before its first
+    record is dropped.
 
-    The multi-character line separator lets Spark split the file at record starts, in parallel.
+    The multi-character line separator lets Spark split the files at record starts, in parallel. The partitions of a scan
+    come in no particular order, so the order is that of file name, offset of the split and place in it.
     """
     raw = spark.read.option("lineSep", "\n" + START).text(path)
     at = F.monotonically_increasing_id()
-    named = raw.select(at.alias("pos"), F.col("value").alias("v"))
+    named = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("pos"), F.col("value").alias("v"))
+    # a file's first row keeps its START, or is what stands before the first record
+    heads = named.filter("block = 0").groupBy("file").agg(F.min("pos").alias("head"))
+    j = named.join(heads, "file", "left")
     first = F.col("v").startswith(START)
-    is_head = F.col("pos") == 0
-    rec = F.when(first, F.col("v")).when(is_head, F.lit(None)).otherwise(F.concat(F.lit(START), F.col("v")))
-    return named.select("pos", F.regexp_replace(rec, r"\n+$", "").alias("record")).filter("record is not null")
+    rec = F.when(first, F.col("v")).when(F.col("pos").eqNullSafe(F.col("head")), F.lit(None)).otherwise(F.concat(F.lit(START), F.col("v")))
+    return j.select(*ORDER, F.regexp_replace(rec, r"\n+$", "").alias("record")).filter("record is not null")
 
 
 def parse_records(records: DataFrame, join_lines: str | None = None) -> DataFrame:
@@ -59,17 +66,17 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def number_reviews(df: DataFrame, order: str = "pos") -> DataFrame:
-    """review_id dense from 1 in file order."""
+def number_reviews(df: DataFrame, *order: str) -> DataFrame:
+    """review_id dense from 1 in the order of the columns."""
     from reviewloom.operators.numbering import dense_index
 
-    return dense_index(df, [F.col(order)], "_n").withColumn("review_id", F.col("_n") + 1).drop("_n")
+    return dense_index(df, [F.col(c) for c in order], "_n").withColumn("review_id", F.col("_n") + 1).drop("_n")
 
 
 def read_dump(spark: SparkSession, path: str, join_lines: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reviews with text fields and a dense review_id, quarantine). An empty file gives two empty frames."""
     valid, bad = split_valid(parse_records(read_records(spark, path), join_lines))
-    return number_reviews(valid).select("review_id", *FIELDS), bad.select("record", "reason")
+    return number_reviews(valid, *ORDER).select("review_id", *FIELDS), bad.select("record", "reason")
 
 
 DUMP_FIELDS = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])

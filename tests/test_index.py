@@ -223,6 +223,23 @@ def test_dump(spark, tmp_path):
     assert (good.count(), bad.count()) == (0, 0)
 
 
+def test_dump_of_many_files(spark, tmp_path):
+    n, lines = 0, 3
+    for k in range(7):
+        recs = []
+        for _ in range(3 + 40 * (k % 3)):
+            n += 1
+            recs.append(f"product/productId: P{n}\nreview/helpfulness: 0/0\nreview/score: 1\nreview/text: " + "x\n" * lines)
+        (tmp_path / f"part{k}.txt").write_text("junk\n" * (k % 2) + "\n".join(recs))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        good, bad = dump.read_dump(spark, str(tmp_path))
+        assert [(r.review_id, r.product_id) for r in good.orderBy("review_id").collect()] == [(i, f"P{i}") for i in range(1, n + 1)]
+        assert bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_persisted_index(spark, mini, tmp_path):
     path = str(tmp_path / "index")
     index.write_index(mini.select("review_id", "product_id", "score", "helpfulness_num", "helpfulness_denom", "text"), path)
