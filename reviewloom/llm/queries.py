@@ -26,6 +26,20 @@ _R = "r AS (SELECT DISTINCT ON (review_id) * FROM reviews ORDER BY review_id, lo
 _POST = _R + ", post AS (SELECT token, review_id, count(*) AS tf FROM (SELECT review_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS token FROM r) GROUP BY ALL), stats AS (SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1)"
 
 
+_PAIRS = (
+    f"{_R}, t AS (SELECT review_id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)) AS l FROM r),"
+    " s AS (SELECT DISTINCT review_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM t WHERE len(l) >= 25),"
+    " f AS (SELECT g, count(*) AS f FROM s GROUP BY 1),"
+    " o AS (SELECT review_id, g, row_number() OVER (PARTITION BY review_id ORDER BY f, g) AS k, count(*) OVER (PARTITION BY review_id) AS n FROM s JOIN f USING (g)),"
+    # two sets with a similarity of a half share one of their rarest half of runs
+    " p AS (SELECT review_id, g FROM o WHERE k <= n - ceil(n / 2.0) + 1),"
+    " c AS (SELECT DISTINCT a.review_id AS a, b.review_id AS b FROM p a JOIN p b ON a.g = b.g AND a.review_id < b.review_id),"
+    " m AS (SELECT a, b, count(*) AS shared FROM c JOIN s x ON x.review_id = a JOIN s y ON y.review_id = b AND y.g = x.g GROUP BY ALL),"
+    " n AS (SELECT review_id, count(*) AS n FROM s GROUP BY 1),"
+    " pairs AS (SELECT a, b, shared = x.n AND shared = y.n AS same FROM m JOIN n x ON x.review_id = a JOIN n y ON y.review_id = b WHERE shared * 2 >= x.n + y.n - shared)"
+)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -109,24 +123,20 @@ def p8_ids(s, d):
     return encode_documents(table(s, d, "documents"))
 
 
-@query(
-    f"WITH {_R}, t AS (SELECT review_id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)) AS l FROM r),"
-    " s AS (SELECT DISTINCT review_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM t WHERE len(l) >= 25),"
-    " f AS (SELECT g, count(*) AS f FROM s GROUP BY 1),"
-    " o AS (SELECT review_id, g, row_number() OVER (PARTITION BY review_id ORDER BY f, g) AS k, count(*) OVER (PARTITION BY review_id) AS n FROM s JOIN f USING (g)),"
-    # two sets with a similarity of a half share one of their rarest half of runs
-    " p AS (SELECT review_id, g FROM o WHERE k <= n - ceil(n / 2.0) + 1),"
-    " c AS (SELECT DISTINCT a.review_id AS a, b.review_id AS b FROM p a JOIN p b ON a.g = b.g AND a.review_id < b.review_id),"
-    " m AS (SELECT a, b, count(*) AS shared FROM c JOIN s x ON x.review_id = a JOIN s y ON y.review_id = b AND y.g = x.g GROUP BY ALL),"
-    " n AS (SELECT review_id, count(*) AS n FROM s GROUP BY 1)"
-    " SELECT a AS review_a, b AS review_b FROM m JOIN n x ON x.review_id = a JOIN n y ON y.review_id = b WHERE shared * 2 >= x.n + y.n - shared"
-)
+@query(f"WITH {_PAIRS} SELECT a AS review_a, b AS review_b FROM pairs")
 def p6_found(s, d):
     pairs = similar_pairs(*similar_links(table(s, d, "reviews")))
     return pairs.select(F.col("a").alias("review_a"), F.col("b").alias("review_b"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b, same FROM pairs UNION ALL SELECT b, a, same FROM pairs),"
+    " reach AS (SELECT DISTINCT a AS id, a AS node FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.node),"
+    ' grp AS (SELECT id, min(node) AS "group" FROM reach GROUP BY 1),'
+    " rep AS (SELECT a AS id, least(a, coalesce(min(b) FILTER (same), a)) AS rep FROM e GROUP BY a),"
+    " links AS (SELECT x.rep, count(DISTINCT y.rep) AS n_links FROM e JOIN rep x ON x.id = a JOIN rep y ON y.id = b WHERE NOT same GROUP BY 1)"
+    ' SELECT id AS review_id, "group", coalesce(n_links, 0) AS n_links FROM grp JOIN rep USING (id) LEFT JOIN links USING (rep)'
+)
 def p6_groups(s, d):
     """Groups of reviews that repeat another with small changes: one row per review that has a copy or a link."""
     links, members = similar_links(table(s, d, "reviews"))
@@ -147,7 +157,13 @@ def p10_found(s, d):
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
-@query()
+@query(
+    "WITH x AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) >= 200 GROUP BY text),"
+    " t AS (SELECT doc_id, unnest(range(1, length(text) - 198)) AS i, text FROM x), w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM t),"
+    " m AS (SELECT a.doc_id AS a, b.doc_id AS b, a.i AS i, b.i - a.i AS shift FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id),"
+    " g AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, shift ORDER BY i) AS run FROM m)"
+    " SELECT a AS doc_a, b AS doc_b, CAST(min(i) - 1 AS INT) AS at_a, CAST(min(i) + shift - 1 AS INT) AS at_b, CAST(count(*) + 199 AS INT) AS chars FROM g GROUP BY a, b, shift, run"
+)
 def p10_spans(s, d):
     """The spans themselves, between representatives of equal texts."""
     spans, _ = shared_spans(table(s, d, "documents"))
@@ -190,8 +206,15 @@ def p9_pack(s, d):
     return pack_documents(table(s, d, "documents"))
 
 
-@query()
+@query(
+    "WITH u AS (SELECT doc_id, i, u, lower(trim(regexp_replace(u, '\\s+', ' ', 'g'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS u,"
+    " generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)),"
+    " p AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY doc_id, i) AS k, coalesce(sum(length(u) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM u),"
+    " g AS (SELECT doc_id, string_agg(u, chr(10) || chr(10) ORDER BY i) AS text, string_agg(pos || '+' || length(u), ',' ORDER BY i) AS kept FROM p WHERE k = 1 OR n = '' GROUP BY 1)"
+    " SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS kept FROM documents d LEFT JOIN g USING (doc_id)"
+)
 def p10_deduplicated(s, d):
-    """Every text without the paragraphs that stand before elsewhere, and where its paragraphs stood."""
+    """Every text without the paragraphs that stand before elsewhere, and where its paragraphs stood: `offset+length,…`."""
     c = without_repeats(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return c.select(F.col("id").alias("doc_id"), "text", F.transform("kept", lambda k: F.concat_ws("+", k["at"], k["chars"])).alias("kept"))
+    kept = F.array_join(F.transform("kept", lambda k: F.concat_ws("+", k["at"], k["chars"])), ",")
+    return c.select(F.col("id").alias("doc_id"), "text", kept.alias("kept"))
