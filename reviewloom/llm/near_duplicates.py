@@ -8,7 +8,7 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 An element is a run of consecutive tokens. Its weight falls from 1 with the logarithm of its frequency in the whole
 collection, so that runs found everywhere make few candidates. Frequencies come from a table of 2^16 hash buckets
-counted over all records: that table is the only thing broadcast, and its size is fixed.
+counted over all different records: that table is the only thing broadcast, and its size is fixed.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def _count(size: int, min_tokens: int):
 
 
 def element_weights(reps: DataFrame, size: int, min_tokens: int) -> np.ndarray:
-    """Weight per hash bucket, from counts over all records; 2^16 numbers whatever the input."""
+    """Weight per hash bucket, from counts over all different records; 2^16 numbers whatever the input."""
     c = reps.select("text").mapInArrow(_count(size, min_tokens), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS + 1, dtype=np.float64)
     for x in c.collect():
