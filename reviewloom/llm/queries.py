@@ -180,7 +180,7 @@ def p10_spans(s, d):
 )
 def p10_shared(s, d):
     docs = table(s, d, "documents")
-    spans, members = shared_spans(docs)
+    spans, members = shared_spans(docs, every=False)
     return shared_characters(docs, stash(spans, "spans"), members)
 
 

@@ -29,9 +29,11 @@ from reviewloom.session import stash
 
 SPAN = 200
 UNIT = 100
-#: Documents with the same unit are paired with each other up to this number, with so many places of it each on average.
+#: Documents with the same unit are paired in one task up to this number, with so many places of it each on average.
 EXPAND = 64
 PLACES = 16
+#: Larger groups are paired in blocks of so many documents.
+BLOCK = 256
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -215,26 +217,27 @@ def _remove(sep: str):
 def _link(expand: int, star: bool):
     """(a, b, at_a, at_b) links of sorted (digest, id, at) rows: all pairs of a group of up to `expand` documents.
 
-    Of a larger group either each row is linked to the earliest (star), or all rows come out alone, with b null. Holds at
-    most PLACES x `expand` rows.
+    Of a larger group either each row is linked to the earliest (star), or all rows come out alone, with b null, the
+    digest, and in at_b how far at_a is from the group's first place. Holds at most PLACES x `expand` rows.
     """
 
     def out(parts):
         cols = [np.concatenate(c) for c in zip(*parts)]
-        alone = pa.array(cols[1]) if star else pa.array(cols[1], mask=cols[1] == _NOBODY)
-        return pa.record_batch([pa.array(cols[0]), alone, pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["a", "b", "at_a", "at_b"])
+        alone = np.zeros(len(cols[1]), dtype=bool) if star else cols[1] == _NOBODY
+        of = pa.array(cols[4], mask=~alone)
+        return pa.record_batch([pa.array(cols[0]), pa.array(cols[1], mask=alone), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), of], names=["a", "b", "at_a", "at_b", "digest"])
 
     def pairs(ids, at):
         i, j = np.triu_indices(len(ids), 1)
         i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-        return ids[i], ids[j], at[i], at[j]
+        return ids[i], ids[j], at[i], at[j], np.zeros(len(i), dtype=np.int64)
 
-    def more(first, ids, at):
+    def more(first, ids, at, digest):
         if star:
             other = ids != first[0]
             ids, at = ids[other], at[other]
-            return np.full(len(ids), first[0]), ids, np.full(len(ids), first[1]), at
-        return ids, np.full(len(ids), _NOBODY), at, np.zeros(len(ids), dtype=np.int64)
+            return np.full(len(ids), first[0]), ids, np.full(len(ids), first[1]), at, np.full(len(ids), digest)
+        return ids, np.full(len(ids), _NOBODY), at, at - first[1], np.full(len(ids), digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, ids, at, large = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
@@ -243,12 +246,12 @@ def _link(expand: int, star: bool):
         def grow(new_ids, new_at):
             nonlocal ids, at, large
             if large:
-                parts.append(more((ids[0], at[0]), new_ids, new_at))
+                parts.append(more((ids[0], at[0]), new_ids, new_at, digest))
                 return
             ids, at = np.concatenate([ids, new_ids]), np.concatenate([at, new_at])
             if len(ids) > PLACES * expand or 1 + np.count_nonzero(ids[1:] != ids[:-1]) > expand:
                 large = True
-                parts.append(more((ids[0], at[0]), ids, at))
+                parts.append(more((ids[0], at[0]), ids, at, digest))
                 ids, at = ids[:1], at[:1]
 
         def close():
@@ -279,6 +282,45 @@ def _link(expand: int, star: bool):
     return run
 
 
+def _shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shift): the different shifts between the places of (a, b, places of a, places of b) rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            rows = batch.slice(at, 1024)
+            each = []
+            for x, y in zip(rows.column(2), rows.column(3)):
+                x, y = (np.asarray(v.values).astype(np.int64) for v in (x, y))
+                if len(x) == 1 or len(y) == 1:
+                    each.append(np.unique(y[:, None] - x).ravel())
+                    continue
+                # marked one place of a at a time: no more is held than the texts are long
+                low = y.min() - x.max()
+                seen = np.zeros(y.max() - x.min() - low + 1, dtype=bool)
+                for p in x:
+                    seen[y - p - low] = True
+                each.append(np.flatnonzero(seen) + low)
+            n = [len(v) for v in each]
+            a, b = (pa.array(np.repeat(np.asarray(rows.column(c)), n)) for c in range(2))
+            yield pa.record_batch([a, b, pa.array(np.concatenate(each).astype(np.int32))], names=["a", "b", "shift"])
+
+
+def _block_shifts(large: DataFrame, block: int) -> DataFrame:
+    """(a, b, shift), a < b: every pair of documents of each group of (digest, id, at, rel) rows, with all shifts of its run.
+
+    rel is `at` less the group's first place. Runs that lie beside each other in the same places propose the same, so of
+    groups with equal (id, rel) rows one stays. A document meets one block of its group per task.
+    """
+    row = [F.col("id"), F.col("rel")]
+    same = [F.bit_xor(F.xxhash64(*row)).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), *row)).alias("s2"), F.count(F.lit(1)).alias("s3")]
+    keep = large.groupBy("digest").agg(*same).groupBy("s1", "s2", "s3").agg(F.min("digest").alias("digest"))
+    g = stash(large.join(keep.select("digest"), "digest", "left_semi").groupBy("digest", "id").agg(F.collect_list("at").alias("places")), "span-groups")
+    n = g.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    g = g.join(n, "digest").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = g.select("digest", F.col("id").alias("a"), F.col("places").alias("pa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    pairs = left.join(g.select("digest", "k", F.col("id").alias("b"), F.col("places").alias("pb")), ["digest", "k"]).filter("a < b")
+    return pairs.select("a", "b", "pa", "pb").mapInArrow(_shifts, "a bigint, b bigint, shift int")
+
+
 def _around(unit: int, span: int):
     """(digest, id, at) of every run of `span` code points that holds the unit at a given place."""
 
@@ -317,15 +359,15 @@ def _compare(span: int):
     return run
 
 
-def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, unit: int = UNIT, expand: int = EXPAND) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, unit: int = UNIT, expand: int = EXPAND, every: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(spans, members). spans (a, b, at_a, at_b, chars): maximal verbatim spans of at least `span` code points that
     documents a < b share. members (id, rep): documents with exactly the same text, by the smallest id.
 
     Exact copies fall together first (combined on the map side), so spans hold representatives only. A unit found in
     more than `expand` documents proposes nothing itself: all runs of `span` characters around its places are grouped in its
-    stead, so that a common unit costs no comparison unless a whole span around it is shared. Only where such a run,
-    and so a true span, stands in more than `expand` documents are they linked to the earliest one rather than
-    each to each. Null texts, texts shorter than `span` and rows without an id have no part in it; an empty table gives
+    stead, so that a common unit costs no comparison unless a whole span around it is shared. Where such a run, and so a
+    true span, stands in more than `expand` documents too, they are paired each with each in blocks over the cluster.
+    Without `every` they are linked to the earliest one only, which finds fewer pairs. Null texts, texts shorter than `span` and rows without an id have no part in it; an empty table gives
     empty tables. Ids must be unique.
     """
     d = docs.filter(F.col(id).isNotNull() & (F.length(text) >= span)).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -333,13 +375,16 @@ def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span:
     members = stash(_classes(d.select("id", *key)), "text-classes")
     copies = members.filter("id <> rep").select("id")
     reps = d.join(copies, "id", "left_anti")
-    grouped = lambda u, star: u.select("digest", "id", "at").repartition("digest").sortWithinPartitions("digest", "id", "at").mapInArrow(_link(expand, star), "a bigint, b bigint, at_a int, at_b int")
+    grouped = lambda u, star: u.select("digest", "id", "at").repartition("digest").sortWithinPartitions("digest", "id", "at").mapInArrow(_link(expand, star), "a bigint, b bigint, at_a int, at_b int, digest bigint")
     links = stash(grouped(reps.mapInArrow(_window_units(unit, span), "id bigint, at int, digest bigint"), False), "unit-links")
     # the places of common units, looked at again in all runs of `span` characters around them
     common = links.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_set("at_a").alias("places"))
     wide = common.join(reps, "id").select("id", "places", "text").mapInArrow(_around(unit, span), "digest bigint, id bigint, at int")
-    both = links.filter("b is not null").unionAll(grouped(wide, True))
-    shifts = stash(both.groupBy("a", "b").agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("shifts")), "span-links")
+    around = stash(grouped(wide, not every), "run-links")
+    moved = links.unionAll(around).filter("b is not null").select("a", "b", (F.col("at_b") - F.col("at_a")).alias("shift"))
+    if every:
+        moved = moved.unionAll(_block_shifts(around.filter("b is null").select("digest", F.col("a").alias("id"), F.col("at_a").alias("at"), F.col("at_b").alias("rel")), block))
+    shifts = stash(moved.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "span-links")
     need = shifts.select(F.col("a").alias("id")).unionAll(shifts.select(F.col("b").alias("id"))).distinct()
     texts = stash(d.join(need, "id", "left_semi"), "span-texts")
     j = shifts.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")

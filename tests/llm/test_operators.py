@@ -384,6 +384,19 @@ def test_shared_spans(spark, span_docs):
     assert span_pairs(*none).count() == 0
 
 
+def test_span_in_many_documents(spark):
+    rnd = random.Random(13)
+    notice = words(rnd, 60)[:230]
+    texts = [f"{i} {words(rnd, 20 + i % 7)} {notice} {words(rnd, 20)} {i}" for i in range(70)] + [f"{i} {words(rnd, 60)}" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = set(itertools.combinations(range(70), 2))
+    for options in ({}, {"expand": 20, "block": 16}):
+        spans, members = shared_spans(df, **options)
+        got = [tuple(r) for r in spans.select("a", "b", "at_a", "at_b", "chars").collect()]
+        assert len(got) == len(set(got)) and {g[:2] for g in got} == want
+        assert {(r.a, r.b) for r in span_pairs(stash(spans, "spans"), members).collect()} == want
+
+
 def test_repeated_units(spark):
     docs = [(1, "One  para.\n\nTwo\n\nOne para."), (2, "x\n\nTWO \n\n\n\ny"), (3, None), (4, ""), (5, "one para.")]
     df = spark.createDataFrame(docs, "id bigint, text string")
