@@ -6,9 +6,8 @@ hits one of k coordinates, and each coordinate keeps its earliest dart. A record
 rank (k ln k)/W only, so a signature costs about k ln k darts however many elements there are. Two records agree in a
 coordinate with the probability of their weighted Jaccard similarity.
 
-An element is a run of consecutive tokens. Its weight falls from 1 with the logarithm of its frequency in the whole
-collection, so that runs found everywhere make few candidates. Frequencies come from a table of 2^16 hash buckets
-counted over all different records: that table is the only thing broadcast, and its size is fixed.
+An element is a run of consecutive tokens. All weigh 1, since the similarity asked for counts every run alike: with
+weights that fall with a run's frequency, records made from a common template with edits of their own are not found.
 """
 
 from __future__ import annotations
@@ -26,8 +25,7 @@ from reviewloom.session import cut, shuffle_partitions, stash
 SHINGLE = 3
 MIN_TOKENS = 25
 THRESHOLD = 0.5
-COORDINATES, BANDS, ROWS = 80, 40, 4
-BUCKETS = 1 << 16
+COORDINATES, BANDS, ROWS = 80, 80, 4
 #: Buckets of the banded join up to this size are paired in one task, larger ones in blocks of this size.
 BLOCK = 256
 #: Band rows per task of the banded join.
@@ -172,33 +170,7 @@ def _identify(size: int, min_tokens: int):
     return run
 
 
-def _count(size: int, min_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, records = np.zeros(BUCKETS, dtype=np.int64), 0
-        for b in batches:
-            _, x = batch_shingles(b.column(0), size, min_tokens)
-            n += np.bincount((x >> _U64(48)).astype(np.int64), minlength=BUCKETS)
-            records += b.num_rows
-        at = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(n[at], records))], names=["bucket", "n"])
-
-    return run
-
-
-def element_weights(reps: DataFrame, size: int, min_tokens: int) -> np.ndarray:
-    """Weight per hash bucket, from counts over all different records; 2^16 numbers whatever the input."""
-    c = reps.select("text").mapInArrow(_count(size, min_tokens), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(BUCKETS + 1, dtype=np.float64)
-    for x in c.collect():
-        counts[x["bucket"]] = x["n"]
-    records, n = max(2.0, counts[-1]), counts[:-1]
-    # what an average bucket holds is chance; only what stands out of it counts as frequent
-    noise = np.median(n)
-    above = np.maximum(1.0, n - noise - 4 * np.sqrt(noise))
-    return np.clip(1 - np.log(above) / np.log(records), 0.05, 1.0)
-
-
-def _bands(size: int, min_tokens: int, k: int, layout: np.ndarray, weights: np.ndarray):
+def _bands(size: int, min_tokens: int, k: int, layout: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -207,8 +179,7 @@ def _bands(size: int, min_tokens: int, k: int, layout: np.ndarray, weights: np.n
                 if not len(r):
                     continue
                 present, doc = np.unique(r, return_inverse=True)
-                w = weights[(x >> _U64(48)).astype(np.int64)]
-                sig = dart_signatures(doc, x, w, len(present), k)
+                sig = dart_signatures(doc, x, np.ones(len(x)), len(present), k)
                 keys = band_keys(sig, layout)
                 ids = np.asarray(b.column(0))[present]
                 yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, len(layout)))], names=["key", "id"])
@@ -328,8 +299,7 @@ def similar_links(
     # read for the representatives, and without the texts for the members
     ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string"), "identified")
     reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
-    weights = element_weights(reps, size, min_tokens)
-    banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows), weights), "key bigint, id bigint")
+    banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows)), "key bigint, id bigint")
     cands = stash(bucket_pairs(banded, reps.count() * bands), "candidates")
     need = cands.select(F.col("a").alias("rep")).unionAll(cands.select(F.col("b").alias("rep"))).distinct()
     texts = reps.select("rep", "text").join(need, "rep", "left_semi")

@@ -302,6 +302,18 @@ def test_similar_pairs(spark):
     assert similar_pairs(*none).count() == 0 and duplicate_groups(*none).count() == 0
 
 
+def test_similar_pairs_of_a_hot_template(spark):
+    rnd = random.Random(14)
+    template = words(rnd, 60, 3000)
+    texts = [f"{template} " + " ".join(f"e{i}x{k}" for k in range(n)) for i, n in enumerate([20] * 150 + [8] * 150)]
+    texts += [words(rnd, 40, 3000) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, text string")
+    got = {(r.a, r.b) for r in similar_pairs(*similar_links(df)).collect()}
+    assert jaccard(texts[0], texts[1]) >= 0.55
+    want = set(itertools.combinations(range(300), 2))
+    assert got <= want and len(want - got) <= 0.02 * len(want), len(got)
+
+
 def test_bucket_pairs(spark):
     rnd = random.Random(11)
     rows = [(rnd.randint(0, 40), i) for i in range(150)] + [(99, i) for i in range(500)] + [(98, 3), (98, 3)]
