@@ -30,7 +30,7 @@ COORDINATES, BANDS, ROWS = 80, 80, 4
 BLOCK = 256
 #: Band rows per task of the banded join.
 ROWS_PER_TASK = 1_000_000
-#: Classes of exact copies up to this size are written out as pairs; larger ones as links to their first member.
+#: Exact copies of a text up to this number are written out as pairs; more as links to the first of them.
 EXPAND = 32
 
 #: Weights are cut at 1/2 and 1/4; a level's cells are as tall as they are narrow, so each has area 1.
@@ -289,15 +289,16 @@ def similar_links(
     rows: int = ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members). links (a, b, similarity): representatives a < b of different sets of runs, similar to at least
-    `threshold`. members (id, rep): every record of at least min_tokens tokens with its class of equal sets of runs.
+    `threshold`. members (id, rep, t1, t2): every record of at least min_tokens tokens with its class of equal sets of runs,
+    and a 96-bit hash of its text, since a class may hold different texts.
 
-    Repeated deliveries of an id and exact copies fall together before anything is banded, combined on the map side: a
+    Repeated deliveries of an id and equal sets of runs fall together before anything is banded, combined on the map side: a
     class of copies of any size bands once. Null, empty and shorter texts have no part in it; an empty table gives empty
     tables. Candidates agree in `rows` coordinates of one of `bands` bands, then the exact similarity decides.
     """
     src = records.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     # read for the representatives, and without the texts for the members
-    ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string"), "identified")
+    ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string").withColumns({"t1": F.xxhash64("text"), "t2": F.hash(F.reverse("text"))}), "identified")
     reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
     banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows)), "key bigint, id bigint")
     cands = stash(bucket_pairs(banded, reps.count() * bands), "candidates")
@@ -306,25 +307,36 @@ def similar_links(
     with_a = cands.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     links = with_b.select("a", "b", "ta", "tb").mapInArrow(_check(size, min_tokens, threshold), "a bigint, b bigint, similarity double")
-    members = ident.select("id", "h1", "h2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+    members = ident.select("id", "h1", "h2", "t1", "t2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep", "t1", "t2")
     return links, members
 
 
-def similar_pairs(links: DataFrame, members: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """(a, b) of all records, a < b: links carried over to the members of small classes.
+def similar_pairs(links: DataFrame, members: DataFrame, expand: int = EXPAND, block: int = BLOCK) -> DataFrame:
+    """(a, b) of all records, a < b: the different texts of a class with each other, and links carried over to every text of
+    both classes, in blocks over the cluster.
 
-    A class of more than `expand` copies is not written out as pairs: its members link to the representative, which
-    stands for them in links to other classes.
+    More than `expand` exact copies of a text are not written out as pairs: they link to the first of them, which stands
+    for them in pairs with other texts.
     """
     m = stash(members, "class-members")
-    sizes = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    copied = m.join(sizes.filter("n > 1"), "rep")
-    small = copied.filter(F.col("n") <= expand).select("rep", "id")
-    within = small.join(small.select("rep", F.col("id").alias("b")), "rep").filter("id < b").select(F.col("id").alias("a"), "b")
-    star = copied.filter((F.col("n") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sizes = m.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    copied = m.join(sizes.filter("size > 1"), "rep")
+    texts = stash(copied.groupBy("rep", "t1", "t2").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")), "class-texts")
+    copies = copied.join(texts.filter("n > 1"), ["rep", "t1", "t2"])
+    small = copies.filter(F.col("n") <= expand).select("text_id", "id")
+    within = small.join(small.select("text_id", F.col("id").alias("b")), "text_id").filter("id < b").select(F.col("id").alias("a"), "b")
+    star = copies.filter((F.col("n") > expand) & (F.col("id") != F.col("text_id"))).select(F.col("text_id").alias("a"), F.col("id").alias("b"))
+    blocks = texts.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    of = texts.join(blocks, "rep").withColumn("k", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int")).select("rep", "k", "text_id", "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("k")
+    between = of.select("rep", F.col("text_id").alias("a"), every).join(of.select("rep", "k", F.col("text_id").alias("b")), ["rep", "k"]).filter("a < b").select("a", "b")
     cross = links.select("a", "b")
+    for c, other in (("a", "b"), ("b", "a")):
+        cross = cross.join(blocks.withColumnRenamed("rep", c), c, "left").select(c, other, every)
+        cross = cross.join(of.select(F.col("rep").alias(c), "k", F.col("text_id").alias(f"_{c}")), [c, "k"], "left").select(F.coalesce(f"_{c}", c).alias(c), other)
+    cross = between.unionAll(cross.select("a", "b"))
     for c in ("a", "b"):
-        side = small.select(F.col("rep").alias(c), F.col("id").alias(f"_{c}"))
+        side = small.select(F.col("text_id").alias(c), F.col("id").alias(f"_{c}"))
         cross = cross.join(side, c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return within.unionAll(star).unionAll(cross)

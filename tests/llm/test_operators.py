@@ -314,6 +314,19 @@ def test_similar_pairs_of_a_hot_template(spark):
     assert got <= want and len(want - got) <= 0.02 * len(want), len(got)
 
 
+def test_similar_pairs_of_many_spellings(spark):
+    rnd = random.Random(15)
+    base, other = words(rnd, 40, 3000), words(rnd, 40, 3000)
+    texts = [base + "!" * i for i in range(36)] + [base + " again", base.upper()] + [other + "?"] * 3 + [other]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, text string")
+    links, members = similar_links(df)
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.5}
+    links = stash(links, "links")
+    for options in ({}, {"block": 5}):
+        got = [(r.a, r.b) for r in similar_pairs(links, members, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_bucket_pairs(spark):
     rnd = random.Random(11)
     rows = [(rnd.randint(0, 40), i) for i in range(150)] + [(99, i) for i in range(500)] + [(98, 3), (98, 3)]
