@@ -217,7 +217,8 @@ def _remove(sep: str):
 def _link(expand: int, star: bool):
     """(a, b, at_a, at_b) links of sorted (digest, id, at) rows: all pairs of a group of up to `expand` documents.
 
-    Of a larger group either each row is linked to the earliest (star), or all rows come out alone, with b null, the
+    Of a larger group either each row is linked to the earliest, and each further place of the earliest document to one
+    place in another (star), or all rows come out alone, with b null, the
     digest, and in at_b how far at_a is from the group's first place. Holds at most PLACES x `expand` rows.
     """
 
@@ -245,12 +246,22 @@ def _link(expand: int, star: bool):
 
         def grow(new_ids, new_at):
             nonlocal ids, at, large
+            if star and large and len(ids) > 1:
+                # places of the first document that wait for another document
+                new_ids, new_at, ids, at = np.concatenate([ids, new_ids]), np.concatenate([at, new_at]), ids[:0], at[:0]
+                large = False
             if large:
                 parts.append(more((ids[0], at[0]), new_ids, new_at, digest))
                 return
             ids, at = np.concatenate([ids, new_ids]), np.concatenate([at, new_at])
             if len(ids) > PLACES * expand or 1 + np.count_nonzero(ids[1:] != ids[:-1]) > expand:
                 large = True
+                if star:
+                    other = np.flatnonzero(ids != ids[0])
+                    if not len(other):
+                        return
+                    k = other[0]
+                    parts.append((ids[1:k], np.full(k - 1, ids[k]), at[1:k], np.full(k - 1, at[k]), np.full(k - 1, digest)))
                 parts.append(more((ids[0], at[0]), ids, at, digest))
                 ids, at = ids[:1], at[:1]
 

@@ -23,7 +23,7 @@ from reviewloom.llm.near_duplicates import (
     similar_pairs,
 )
 from reviewloom.llm.packing import pack_documents
-from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
+from reviewloom.llm.shared_spans import _link, repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
 from reviewloom.session import stash
 
@@ -422,6 +422,32 @@ def test_span_in_many_documents(spark):
         assert {(r.a, r.b) for r in span_pairs(stash(spans, "spans"), members).collect()} == want
 
 
+def test_shared_characters_of_a_repeated_span(spark):
+    rnd = random.Random(16)
+    notice = words(rnd, 60)[:230]
+    texts = [f"a {notice} b {words(rnd, 20)} c {notice} d"] + [f"{i}a {words(rnd, 20)} {notice} {i}d" for i in range(1, 70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans, members = shared_spans(df, every=False)
+    got = {r.doc_id: r.shared_chars for r in shared_characters(df, stash(spans, "spans"), members).collect()}
+    other = [x for t in texts[1:] for x in (t[i : i + 200] for i in range(len(t) - 199))]
+    runs, mask = set(other), np.zeros(len(texts[0]), dtype=bool)
+    for k in range(len(texts[0]) - 199):
+        if texts[0][k : k + 200] in runs:
+            mask[k : k + 200] = True
+    assert got[0] == int(mask.sum()) >= 460 and min(got.values()) >= 230
+
+
+def test_link_waits_for_another_document():
+    import pyarrow as pa
+
+    rows = [(7, 1, k) for k in range(40)] + [(7, 2, 5), (7, 2, 9), (7, 3, 0)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=["digest", "id", "at"])
+    for step in (1, 20, 100):
+        out = _link(2, True)(batch.slice(k, step) for k in range(0, len(rows), step))
+        got = [x for b in out for x in zip(*(b.column(c).to_pylist() for c in range(4)))]
+        assert sorted(got) == sorted([(1, 2, k, 5) for k in range(1, 40)] + [(1, 2, 0, 5), (1, 2, 0, 9), (1, 3, 0, 0)])
+
+
 def test_repeated_units(spark):
     docs = [(1, "One  para.\n\nTwo\n\nOne para."), (2, "x\n\nTWO \n\n\n\ny"), (3, None), (4, ""), (5, "one para.")]
     df = spark.createDataFrame(docs, "id bigint, text string")
