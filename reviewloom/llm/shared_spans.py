@@ -377,7 +377,7 @@ def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span:
     Exact copies fall together first (combined on the map side), so spans hold representatives only. A unit found in
     more than `expand` documents proposes nothing itself: all runs of `span` characters around its places are grouped in its
     stead, so that a common unit costs no comparison unless a whole span around it is shared. Where such a run, and so a
-    true span, stands in more than `expand` documents too, they are paired each with each in blocks over the cluster.
+    true span, stands in more than `expand` documents too, or in PLACES x `expand` places of any number of them, they are paired each with each in blocks over the cluster.
     Without `every` they are linked to the earliest one only, which finds fewer pairs. Null texts, texts shorter than `span` and rows without an id have no part in it; an empty table gives
     empty tables. Ids must be unique.
     """

@@ -448,6 +448,15 @@ def test_link_waits_for_another_document():
         assert sorted(got) == sorted([(1, 2, k, 5) for k in range(1, 40)] + [(1, 2, 0, 5), (1, 2, 0, 9), (1, 3, 0, 0)])
 
 
+def test_spans_repeated_in_few_documents(spark):
+    rnd = random.Random(17)
+    line = words(rnd, 80)[:249] + "\n"
+    df = spark.createDataFrame([(i, f"{i} {words(rnd, 20)} " + line * 100 + f"{i}") for i in range(12)], "doc_id bigint, text string")
+    spans, members = shared_spans(df)
+    pairs = span_pairs(stash(spans.select("a", "b").distinct(), "spans"), members)
+    assert {(r.a, r.b) for r in pairs.collect()} == set(itertools.combinations(range(12), 2))
+
+
 def test_repeated_units(spark):
     docs = [(1, "One  para.\n\nTwo\n\nOne para."), (2, "x\n\nTWO \n\n\n\ny"), (3, None), (4, ""), (5, "one para.")]
     df = spark.createDataFrame(docs, "id bigint, text string")
