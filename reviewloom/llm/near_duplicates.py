@@ -30,6 +30,8 @@ COORDINATES, BANDS, ROWS = 80, 80, 4
 BLOCK = 256
 #: Band rows per task of the banded join.
 ROWS_PER_TASK = 1_000_000
+#: A task holds up to so many band rows to leave out keys that stand alone.
+HOLD = 4_000_000
 #: Exact copies of a text up to this number are written out as pairs; more as links to the first of them.
 EXPAND = 32
 
@@ -154,7 +156,9 @@ def band_keys(sig: np.ndarray, layout: np.ndarray) -> np.ndarray:
 
 
 def _identify(size: int, min_tokens: int):
-    """Rows of records long enough: (id, h1, h2, text), h1 and h2 a 128-bit hash of the set of runs."""
+    """Records long enough: (id, h1, h2, t1, t2, runs). h1 and h2 are a 128-bit hash of the set of runs, t1 and t2 one of the
+    text; runs holds the sorted low 16 bits of every run's hash."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +169,12 @@ def _identify(size: int, min_tokens: int):
             h1 = np.add.reduceat(x, at)
             h2 = np.add.reduceat(mix64(x ^ _U64(0xA0761D6478BD642F)), at)
             rows = pa.array(r[at])
-            yield pa.record_batch([b.column(0).take(rows), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(1).take(rows)], names=["id", "h1", "h2", "text"])
+            t = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v) for v in b.column(1).take(rows).to_pylist()), dtype=np.int64).reshape(-1, 2)
+            low = (x & _U64(0xFFFF)).astype(np.uint16)
+            short = np.sort((np.repeat(np.arange(len(at)), np.diff(np.append(at, len(x)))) << 16) | low).astype(np.uint16)
+            offsets = np.append(at, len(x)) * 2
+            runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(short.tobytes())]).cast(pa.binary())
+            yield pa.record_batch([b.column(0).take(rows), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(t[:, 0]), pa.array(t[:, 1]), runs], names=["id", "h1", "h2", "t1", "t2", "runs"])
 
     return run
 
@@ -187,71 +196,146 @@ def _bands(size: int, min_tokens: int, k: int, layout: np.ndarray):
     return run
 
 
+def _packed(parts: int):
+    """(part, keys, ids) of (key, id) rows: for each batch and partition one row of packed numbers.
+
+    The partition follows from the key's upper 24 bits, the lower 40 travel: in a partition of a million rows two different
+    keys coincide about once in two runs, which costs one comparison more. Ids ascend and travel as differences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, ids = np.asarray(b.column(0)).view(_U64), np.asarray(b.column(1))
+            part = ((key >> _U64(40)) * _U64(parts) >> _U64(24)).astype(np.int64)
+            by = np.lexsort((ids, part))
+            part, ids = part[by], ids[by]
+            low = key[by].view(np.uint8).reshape(-1, 8)[:, :5]
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            step = np.diff(ids, prepend=0)
+            step[at] = ids[at]
+            keys, steps = [], []
+            for s, e in zip(at, np.append(at[1:], len(part))):
+                keys.append(low[s:e].tobytes())
+                # the first id in full, the differences in as many bytes as the largest takes
+                d = step[s + 1 : e]
+                width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(d) or d.max() < 1 << (8 * w))
+                steps.append(step[s : s + 1].tobytes() + d.astype(f"<u{width}").tobytes())
+            yield pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(steps, pa.binary())], names=["part", "keys", "ids"])
+
+    return run
+
+
+def _unpack_one(keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 5
+    k = np.zeros((n, 8), dtype=np.uint8)
+    k[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(n, 5)
+    step = np.empty(n, dtype=np.int64)
+    step[0] = np.frombuffer(ids, dtype=np.int64, count=1)[0]
+    if n > 1:
+        step[1:] = np.frombuffer(ids, dtype=f"<u{(len(ids) - 8) // (n - 1)}", offset=8)
+    return k.view(np.int64).ravel(), np.cumsum(step)
+
+
+def _unpacked(hold: int):
+    """(key, id) rows of packed ones. A partition of up to `hold` rows leaves out those whose key stands alone; of a larger one,
+    which isn't held, all go on to the sort that follows."""
+
+    def out(key, ids):
+        for at in range(0, len(key), 1 << 16):
+            yield pa.record_batch([pa.array(key[at : at + (1 << 16)]), pa.array(ids[at : at + (1 << 16)])], names=["key", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        n, over = 0, False
+        for b in batches:
+            for keys, ids in zip(b.column(1), b.column(2)):
+                held.append(_unpack_one(keys.as_py(), ids.as_py()))
+                n += len(held[-1][0])
+                if over or n > hold:
+                    over = True
+                    for x in held:
+                        yield from out(*x)
+                    held = []
+        if held:
+            key, ids = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            same = key[1:] == key[:-1]
+            again = np.append(False, same) | np.append(same, False)
+            yield from out(key[again], ids[by[again]])
+
+    return run
+
+
 def _pairs(block: int):
-    """Pairs of ids within runs of equal key of sorted rows; a run longer than block comes out as (id, null) rows."""
+    """Pairs of ids within runs of equal key of sorted rows; a run longer than block comes out as (id, null) rows.
+
+    No more than one batch and an open run of `block` ids is held.
+    """
+    none = np.zeros(0, np.int64)
 
     def emit(a, b, k):
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_ids, large = None, np.zeros(0, np.int64), False
-
-        def close():
-            if open_key is None or len(open_ids) < 2 and not large:
-                return None
-            if large:
-                return emit(open_ids, [None] * len(open_ids), [open_key] * len(open_ids)) if len(open_ids) else None
-            i, j = np.triu_indices(len(open_ids), 1)
-            return emit(open_ids[i], open_ids[j], [open_key] * len(i))
+    def alone(ids, key):
+        return emit(ids, pa.nulls(len(ids), pa.int64()), np.full(len(ids), key))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_ids, large = None, none, False
         for b in batches:
             if not b.num_rows:
                 continue
             key, ids = np.asarray(b.column(0)), np.asarray(b.column(1))
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            end = np.append(at[1:], len(key))
-            lo = 0
-            if open_key is not None and key[0] == open_key:
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            end = np.append(begin[1:], len(key))
+            first = int(key[0] == open_key)
+            if first:
                 open_ids = np.concatenate([open_ids, ids[: end[0]]])
-                lo = 1
-                if len(open_ids) > block:
-                    large = True
-                if large:
-                    yield emit(open_ids, [None] * len(open_ids), [open_key] * len(open_ids))
-                    open_ids = open_ids[:0]
-                if len(at) == 1:
-                    continue
-            if (x := close()) is not None:
-                yield x
+            if first < len(begin) and len(open_ids) > 1 and not large and len(open_ids) <= block:
+                i, j = np.triu_indices(len(open_ids), 1)
+                yield emit(open_ids[i], open_ids[j], np.full(len(i), open_key))
+                open_ids = none
+            if len(open_ids) and (large or len(open_ids) > block):
+                yield alone(open_ids, open_key)
+                open_ids, large = none, True
+            if first == len(begin):
+                continue
             # whole runs inside the batch; the last stays open
-            last = len(at) - 1
-            open_key, open_ids, large = key[at[last]], ids[at[last] :], False
-            s, e = at[lo:last], end[lo:last]
-            n = e - s
+            s, n = begin[first:-1], (end - begin)[first:-1]
             for k in np.flatnonzero(n > block):
-                yield emit(ids[s[k] : e[k]], [None] * n[k], key[s[k] : e[k]])
-            s, n = s[(n > 1) & (n <= block)], n[(n > 1) & (n <= block)]
-            out_a, out_b, out_k = [], [], []
-            for size in np.unique(n):
+                yield alone(ids[s[k] : s[k] + n[k]], key[s[k]])
+            out = []
+            for size in np.unique(n[(n > 1) & (n <= block)]):
                 i, j = np.triu_indices(size, 1)
                 g = s[n == size]
-                out_a.append(ids[(g[:, None] + i).ravel()])
-                out_b.append(ids[(g[:, None] + j).ravel()])
-                out_k.append(key[np.repeat(g, len(i))])
-            if out_a:
-                yield emit(np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_k))
-        if (x := close()) is not None:
-            yield x
+                out.append((ids[(g[:, None] + i).ravel()], ids[(g[:, None] + j).ravel()], key[np.repeat(g, len(i))]))
+            if out:
+                yield emit(*[np.concatenate(c) for c in zip(*out)])
+            open_key, open_ids, large = key[begin[-1]], ids[begin[-1] :], False
+            if len(open_ids) > block:
+                yield alone(open_ids, open_key)
+                open_ids, large = none, True
+        if len(open_ids) > 1 and not large:
+            i, j = np.triu_indices(len(open_ids), 1)
+            yield emit(open_ids[i], open_ids[j], np.full(len(i), open_key))
+        elif large and len(open_ids):
+            yield alone(open_ids, open_key)
 
     return run
 
 
-def bucket_pairs(banded: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
+def bucket_pairs(src: DataFrame, n_rows: int, block: int = BLOCK, keyed=None, hold: int = HOLD) -> DataFrame:
     """Distinct (a, b), a < b, of ids that share a key. Every pair of a bucket is made, the larger buckets' in blocks
-    that spread over the cluster: an id meets one block of its bucket per task. n_rows sets the number of tasks."""
-    parts = max(shuffle_partitions(banded.sparkSession), -(-n_rows // ROWS_PER_TASK))
-    s = banded.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint")
-    s = stash(s, "bucket-pairs")
+    that spread over the cluster: an id meets one block of its bucket per task.
+
+    src has (key, id) rows, or rows that `keyed` turns into such batches, in the pass that packs them. n_rows, their number,
+    sets the number of tasks. A sort that spills orders the rows of a task, however many share a key.
+    """
+    parts = min(max(shuffle_partitions(src.sparkSession), -(-n_rows // ROWS_PER_TASK)), 1 << 24)
+    pack = _packed(parts)
+    packed = src.mapInArrow((lambda batches: pack(keyed(batches))) if keyed else pack, "part int, keys binary, ids binary")
+    rows = packed.repartitionById(parts, "part").mapInArrow(_unpacked(hold), "key bigint, id bigint")
+    s = stash(rows.sortWithinPartitions("key").mapInArrow(_pairs(block), "a bigint, b bigint, key bigint"), "bucket-pairs")
     small = s.filter("b is not null").select("a", "b")
     big = s.filter("b is null").select("key", F.col("a").alias("id"))
     n = big.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -261,6 +345,34 @@ def bucket_pairs(banded: DataFrame, n_rows: int, block: int = BLOCK) -> DataFram
     return small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").unionAll(pairs).distinct()
 
 
+def _short_runs(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct row << 16 | value, how often, values of each row) of binary arrays of sorted 16-bit values."""
+    a = a.cast(pa.large_binary())
+    off = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
+    n = np.diff(off) // 2
+    v = np.frombuffer(a.buffers()[2], dtype=np.uint16)[off[0] // 2 : off[-1] // 2] if len(n) and n.any() else np.zeros(0, np.uint16)
+    k = (np.repeat(np.arange(len(n)), n) << 16) | v
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.diff(np.append(at, len(k))), n
+
+
+def _likely(threshold: float):
+    """Of (a, b, runs of a, runs of b) rows those that can be similar enough. Equal runs have equal low bits, so the values two
+    records have in common are at least as many as their common runs: no pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ka, ca, na = _short_runs(b.column(2))
+            kb, cb, nb = _short_runs(b.column(3))
+            at = np.minimum(np.searchsorted(kb, ka), max(0, len(kb) - 1))
+            hit = kb[at] == ka if len(kb) else np.zeros(len(ka), dtype=bool)
+            both = np.bincount(ka[hit] >> 16, weights=np.minimum(ca[hit], cb[at[hit]]), minlength=b.num_rows)
+            ok = both * (1 + threshold) >= threshold * (na + nb) - 1e-6
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _check(size: int, min_tokens: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,6 +389,22 @@ def _check(size: int, min_tokens: int, threshold: float):
     return run
 
 
+def _identified(records: DataFrame, id: str, text: str, size: int, min_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records with text, the hashes of those long enough, and the classes of equal sets of runs."""
+    src = records.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, t1 bigint, t2 bigint, runs binary"), "identified")
+    classes = ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("h1", "h2", "rep")
+    members = stash(ident.select("id", "h1", "h2", "t1", "t2").join(classes, ["h1", "h2"]).select("id", "rep", "t1", "t2").distinct(), "class-members")
+    return src, ident, members
+
+
+def record_copies(records: DataFrame, id: str = "review_id", text: str = "text", size: int = SHINGLE, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(id, copy_of): every record of at least min_tokens tokens whose exact text another has too, with the first of them."""
+    members = _identified(records, id, text, size, min_tokens)[2]
+    g = members.groupBy("rep", "t1", "t2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return members.join(g, ["rep", "t1", "t2"]).select("id", "copy_of")
+
+
 def similar_links(
     records: DataFrame,
     id: str = "review_id",
@@ -289,26 +417,29 @@ def similar_links(
     rows: int = ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members). links (a, b, similarity): representatives a < b of different sets of runs, similar to at least
-    `threshold`. members (id, rep, t1, t2): every record of at least min_tokens tokens with its class of equal sets of runs,
-    and a 96-bit hash of its text, since a class may hold different texts.
+    `threshold`. members (id, rep, t1, t2): the records that share their set of runs with others, by the smallest id of the
+    class, and a 128-bit hash of each one's text, since a class may hold different texts.
 
-    Repeated deliveries of an id and equal sets of runs fall together before anything is banded, combined on the map side: a
-    class of copies of any size bands once. Null, empty and shorter texts have no part in it; an empty table gives empty
-    tables. Candidates agree in `rows` coordinates of one of `bands` bands, then the exact similarity decides.
+    Repeated deliveries of an id (equal in their text) and equal sets of runs fall together before anything is banded: of
+    each class only the representative is, and the hashes that say so are combined on the map side. Null, empty and shorter
+    texts have no part in it; an empty table gives empty tables. Candidates agree in `rows` coordinates of one of `bands` bands;
+    those that 16 bits of each run don't rule out are compared exactly. No text is written or moved but those compared.
     """
-    src = records.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    # read for the representatives, and without the texts for the members
-    ident = stash(src.mapInArrow(_identify(size, min_tokens), "id bigint, h1 bigint, h2 bigint, text string").withColumns({"t1": F.xxhash64("text"), "t2": F.hash(F.reverse("text"))}), "identified")
-    reps = stash(ident.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"), F.count(F.lit(1)).alias("n")), "class-reps")
-    banded = reps.select(F.col("rep").alias("id"), "text").mapInArrow(_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows)), "key bigint, id bigint")
-    cands = stash(bucket_pairs(banded, reps.count() * bands), "candidates")
-    need = cands.select(F.col("a").alias("rep")).unionAll(cands.select(F.col("b").alias("rep"))).distinct()
-    texts = reps.select("rep", "text").join(need, "rep", "left_semi")
-    with_a = cands.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    src, ident, members = _identified(records, id, text, size, min_tokens)
+    copies = members.filter("id <> rep").select("id")
+    first = src.join(copies, "id", "left_anti")
+    n = ident.select("id").count() - copies.count()
+    cands = bucket_pairs(first, n * bands, keyed=_bands(size, min_tokens, coordinates, band_layout(coordinates, bands, rows)))
+    runs = ident.select("id", "runs").join(copies, "id", "left_anti")
+    near = cands.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    near = stash(near.select("a", "b", "ra", "rb").mapInArrow(_likely(threshold), "a bigint, b bigint"), "likely-pairs")
+    need = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
+    texts = stash(first.join(need, "id", "left_semi"), "compared-texts")
+    with_a = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     links = with_b.select("a", "b", "ta", "tb").mapInArrow(_check(size, min_tokens, threshold), "a bigint, b bigint, similarity double")
-    members = ident.select("id", "h1", "h2", "t1", "t2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep", "t1", "t2")
-    return links, members
+    # a second delivery of a record gives its pairs again
+    return links.distinct(), members
 
 
 def similar_pairs(links: DataFrame, members: DataFrame, expand: int = EXPAND, block: int = BLOCK) -> DataFrame:
@@ -318,11 +449,8 @@ def similar_pairs(links: DataFrame, members: DataFrame, expand: int = EXPAND, bl
     More than `expand` exact copies of a text are not written out as pairs: they link to the first of them, which stands
     for them in pairs with other texts.
     """
-    m = stash(members, "class-members")
-    sizes = m.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
-    copied = m.join(sizes.filter("size > 1"), "rep")
-    texts = stash(copied.groupBy("rep", "t1", "t2").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")), "class-texts")
-    copies = copied.join(texts.filter("n > 1"), ["rep", "t1", "t2"])
+    texts = stash(members.groupBy("rep", "t1", "t2").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")), "class-texts")
+    copies = members.join(texts.filter("n > 1"), ["rep", "t1", "t2"])
     small = copies.filter(F.col("n") <= expand).select("text_id", "id")
     within = small.join(small.select("text_id", F.col("id").alias("b")), "text_id").filter("id < b").select(F.col("id").alias("a"), "b")
     star = copies.filter((F.col("n") > expand) & (F.col("id") != F.col("text_id"))).select(F.col("text_id").alias("a"), F.col("id").alias("b"))
@@ -370,8 +498,8 @@ def duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, group, n_links): the group of every record of a class with copies or links, and the number of links of its class."""
     sides = links.select("a").unionAll(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     comp = components(links)
-    m = stash(members, "class-members")
-    n = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    per = n.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(sides.withColumnRenamed("a", "rep"), "rep", "left").filter("n > 1 or group is not null")
-    j = m.join(per, "rep")
-    return j.select("id", F.coalesce("group", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    reps = members.select(F.col("rep").alias("node")).distinct().unionAll(comp.select("node")).distinct()
+    per = reps.join(comp, "node", "left").join(sides.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("group", "node").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # a representative without copies is no member
+    ids = members.select("id", "rep").unionAll(comp.select(F.col("node").alias("id"), F.col("node").alias("rep"))).distinct()
+    return ids.join(per.withColumnRenamed("node", "rep"), "rep").select("id", "group", "n_links")

@@ -11,7 +11,7 @@ from reviewloom.llm.distinctive import distinctive_terms
 from reviewloom.llm.encode import encode_documents
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
-from reviewloom.llm.near_duplicates import duplicate_groups, similar_links, similar_pairs
+from reviewloom.llm.near_duplicates import duplicate_groups, record_copies, similar_links, similar_pairs
 from reviewloom.llm.packing import pack_documents
 from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
@@ -143,6 +143,16 @@ def p6_groups(s, d):
     return duplicate_groups(stash(links, "links"), members).withColumnRenamed("id", "review_id")
 
 
+@query(
+    f"WITH {_R}, t AS (SELECT review_id, text FROM r WHERE len(regexp_extract_all(text, '[a-zA-Z0-9]+')) >= 25),"
+    " c AS (SELECT *, min(review_id) OVER (PARTITION BY text) AS copy_of, count(*) OVER (PARTITION BY text) AS n FROM t) SELECT review_id, copy_of FROM c WHERE n > 1"
+)
+def p6_copies(s, d):
+    """Every review of 25 tokens or more whose exact text another has too, with the first of them: what completes p6_found
+    where it links copies to their first only."""
+    return record_copies(table(s, d, "reviews")).withColumnRenamed("id", "review_id")
+
+
 @query(
     "WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),"
     " a AS (SELECT doc_id, unnest(range(1, n - 98, 100)) AS i, text FROM t), b AS (SELECT doc_id, unnest(range(1, n - 98)) AS j, text FROM t),"

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from reviewloom.llm.distinctive import distinctive_terms
 from reviewloom.llm.encode import Encoder, encode_documents, tokenizer_path
 from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.near_duplicates import (
+    _likely,
+    _packed,
+    _pairs,
+    _unpacked,
     band_keys,
     band_layout,
     bucket_pairs,
@@ -345,6 +350,57 @@ def test_bucket_pairs(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_large_buckets_stay_bounded():
+    sizes = {1: 3, 2: 20_000, 3: 1, 4: 256, 5: 257, 6: 20_000}
+    key = np.repeat(list(sizes), list(sizes.values()))
+    ids = np.arange(len(key))
+    for batch in (100, 257, 10_000, 1 << 20):
+        rows = [pa.record_batch([pa.array(key[i : i + batch]), pa.array(ids[i : i + batch])], names=["key", "id"]) for i in range(0, len(key), batch)]
+        alone, pairs = defaultdict(list), defaultdict(set)
+        for b in _pairs(256)(rows):
+            assert b.num_rows <= max(batch + 256, 256 * 256)
+            for x, y, k in zip(*(c.to_pylist() for c in b.columns)):
+                alone[k].append(x) if y is None else pairs[k].add((x, y))
+        for k, n in sizes.items():
+            of = ids[key == k].tolist()
+            assert sorted(alone[k]) == (of if n > 256 else [])
+            assert pairs[k] == (set(itertools.combinations(of, 2)) if n <= 256 else set())
+
+
+def test_packed_rows_come_back():
+    rnd = np.random.default_rng(16)
+    for top in (10, 300, 70_000, 1 << 40):
+        key, ids = rnd.integers(-(1 << 63), 1 << 63, 900), rnd.integers(-5, top, 900)
+        key[:300] = key[300:600]
+        rows = [pa.record_batch([pa.array(key[i : i + 250]), pa.array(ids[i : i + 250])], names=["key", "id"]) for i in range(0, 900, 250)]
+        packed = [b for b in _packed(3)(rows)]
+        low = (key.view(np.uint64) & np.uint64((1 << 40) - 1)).astype(np.int64)
+        part = ((key.view(np.uint64) >> np.uint64(40)) * np.uint64(3) >> np.uint64(24)).astype(int)
+        for p in range(3):
+            of = [b.filter(pa.array(np.asarray(b.column(0)) == p)) for b in packed]
+            every = sorted(zip(low[part == p].tolist(), ids[part == p].tolist()))
+            twice = set(low[:300].tolist())
+            for hold, want in ((10, every), (10_000, [x for x in every if x[0] in twice])):
+                got = [(k, i) for b in _unpacked(hold)(of) for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                assert sorted(got) == want
+
+
+def test_likely_pairs_lose_none():
+    rnd = np.random.default_rng(17)
+    rows = []
+    for share in np.linspace(0, 1, 60):
+        both = rnd.integers(0, 1 << 62, int(40 * share))
+        a, b = (np.unique(np.concatenate([both, rnd.integers(0, 1 << 62, rnd.integers(1, 40))])) for _ in range(2))
+        rows.append((a, b, len(np.intersect1d(a, b)) / len(np.union1d(a, b))))
+    short = lambda x: np.sort((x & 0xFFFF).astype(np.uint16)).tobytes()
+    n = range(len(rows))
+    batch = pa.record_batch([pa.array(n), pa.array(n), pa.array([short(r[0]) for r in rows]), pa.array([short(r[1]) for r in rows])], names=["a", "b", "ra", "rb"])
+    for at in (0, 7):
+        got = {x for b in _likely(0.5)([batch.slice(at)]) for x in b.column(0).to_pylist()}
+        want = {i for i in n if i >= at and rows[i][2] >= 0.5}
+        assert want <= got and len(got) <= len(want) + 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (5, 5)]
     got = {r.node: r.group for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
