@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.tokens import token_count, tokens
 from reviewloom.operators.numbering import dense_index, global_prefix
-from reviewloom.operators.term_counts import tf_histogram
+from reviewloom.operators.term_counts import review_terms, tf_histogram
 
 #: Postings of a token are kept in segments of this many review ids, so no list grows without bound.
 SEGMENT = 65_536
@@ -18,9 +18,9 @@ def occurrences(reviews: DataFrame) -> DataFrame:
     return reviews.select("review_id", F.explode(tokens("text")).alias("token"))
 
 
-def postings(reviews: DataFrame) -> DataFrame:
-    """(token, review_id, tf). Input hash-partitioned by review_id needs no further exchange."""
-    return occurrences(reviews).groupBy("token", "review_id").agg(F.count(F.lit(1)).alias("tf")).select("token", "review_id", "tf")
+def postings(reviews: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(token, review_id, tf) of reviews that come once each (see current_reviews), of all tokens or of some. Nothing is exchanged."""
+    return review_terms(reviews, only)
 
 
 def token_stats(post: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def postings_flat(post: DataFrame) -> DataFrame:
     return g.select("token", "segment", F.array_join(flat.cast("array<string>"), ",").alias("postings"))
 
 
-def even_odd(flat, part: str) -> F.Column:
-    """Every other element of a flat `id,tf,…` list: "odd" gives ids (0, 2, …), "even" the frequencies (1, 3, …)."""
-    want = {"odd": 0, "even": 1}[part]
+def flat_part(flat, part: str) -> F.Column:
+    """Every other element of a flat `id,tf,…` list: the `ids` (places 0, 2, …) or the `frequencies` (places 1, 3, …)."""
+    want = {"ids": 0, "frequencies": 1}[part]
     return F.filter(flat, lambda _, i: i % 2 == want)
 
 
@@ -117,20 +117,26 @@ def postings_gaps(post: DataFrame) -> DataFrame:
     return j.select("token", "review_id", gap.alias("gap"), "tf")
 
 
-def gaps_to_ids(gaps: DataFrame) -> DataFrame:
-    """Inverse of postings_gaps from an ordered list: expects (token, pos, gap, tf), pos the place in the list.
+def gap_lists(gaps: DataFrame) -> DataFrame:
+    """(token, segment, list): the (gap, tf) pairs of each token and segment in their order, the ids left out."""
+    g = gaps.groupBy("token", segment(F.col("review_id")).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("review_id", "gap", "tf"))).alias("l"))
+    return g.select("token", "segment", F.transform("l", lambda x: F.struct(x["gap"].alias("gap"), x["tf"].alias("tf"))).alias("list"))
 
-    Running sums per (token, block of positions), shifted by the sums of the blocks before.
+
+def gaps_to_ids(lists: DataFrame) -> DataFrame:
+    """(token, review_id, tf) from gap lists (token, segment, list), by the places in the lists alone.
+
+    Running sums inside each list, shifted by the sums of the token's segments before it.
     """
     from pyspark.sql import Window
 
-    s = gaps.withColumn("_b", F.floor(F.col("pos") / F.lit(SEGMENT)))
-    sums = s.groupBy("token", "_b").agg(F.sum("gap").alias("_sum"))
-    wb = Window.partitionBy("token").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("token", "_b", F.coalesce(F.sum("_sum").over(wb), F.lit(0)).alias("_base"))
-    w = Window.partitionBy("token", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_run", F.sum("gap").over(w))
-    return s.join(base, ["token", "_b"]).select("token", (F.col("_run") + F.col("_base")).alias("review_id"), "tf")
+    sums = lists.select("token", "segment", F.aggregate("list", F.lit(0).cast("bigint"), lambda a, x: a + x["gap"]).alias("_sum"))
+    before = Window.partitionBy("token").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("token", "segment", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    rows = lists.select("token", "segment", F.posexplode("list").alias("pos", "x"))
+    w = Window.partitionBy("token", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_run", F.sum("x.gap").over(w))
+    return run.join(base, ["token", "segment"]).select("token", (F.col("_run") + F.col("_base")).alias("review_id"), F.col("x.tf").alias("tf"))
 
 
 def byte_offsets(coded: DataFrame) -> DataFrame:

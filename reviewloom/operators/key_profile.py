@@ -1,14 +1,17 @@
-"""Counts, means and exact quantiles per key when a few keys hold most rows.
+"""Counts, means and exact quantiles per key, and the hot keys themselves, when a few keys hold most rows.
 
 Distributed exact selection: a hot key's values are never gathered. Each round counts the values between the current
-bounds of every unresolved (key, quantile) in a fixed number of bins; counts, minima and maxima of bins are mergeable,
-so each task sends at most keys x quantiles x bins rows. The bin holding the wanted rank gives the next bounds. A
-quantile is resolved when its bin's minimum equals its maximum. The minimum and the maximum always fall in different
-bins, so every round narrows the bounds.
-
-Keys with more than 1/hot_share of all values are hot; there are fewer than hot_share of them, which bounds the bounds
-table that is broadcast and collected each round. All other keys go through one histogram of (key, value), whose
-groups hold at most 1/hot_share of the rows and are spread by key.
+bounds of every unresolved (key, rank) in a fixed number of bins; counts, minima and maxima of bins are mergeable,
+so each task sends at most bounds x bins rows. The bin holding the wanted rank gives the next bounds; ranks in the same
+bin go on with the same bounds. A rank is resolved when its bin's minimum equals its maximum. The minimum and the maximum
+always fall in different bins, so every round narrows the bounds.
+
+Keys with more than 1/hot_share of all values, or more than `most` of them, are hot. There are fewer than
+max(hot_share, rows / most) of them, which bounds the bounds table that is broadcast and collected each round. All other
+keys go through one histogram of (key, value): a task orders at most `most` values of a key.
+
+Hot keys are found by the same selection over hashes of the keys: a key with more than 1/share of the weight holds
+one of `share` evenly spaced ranks, so the keys of these ranks, and no others, need counting.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ from pyspark.sql import functions as F
 
 BINS = 64
 HOT_SHARE = 1024
+#: A cold key has at most this many values.
+MOST = 1 << 24
 
 
-def key_profile(rows: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), hot_share: int = HOT_SHARE, bins: int = BINS) -> DataFrame:
+def key_profile(rows: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), hot_share: int = HOT_SHARE, bins: int = BINS, most: int = MOST) -> DataFrame:
     """(key, n, total, mean, q0, q1, …) from rows (key, value, weight); the quantile is the value of rank ceil(q·n).
 
     weight is the number of equal rows a row stands for (null: 1). Null, NaN and infinite values count in n, but in
     no other figure; a key without any other value has null total, mean and quantiles. A null key is a key like any
-    other. Values are compared as doubles. `rows` is read once per round, so it should be a table or a stash.
+    other. Values are compared as doubles. `rows` is read once per round, so it should be a table or a stash. Without
+    quantiles there are no rounds: one aggregate gives the rest.
     """
     if not all(0 <= q <= 1 for q in quantiles):
         raise ValueError("quantiles lie between 0 and 1")
@@ -45,12 +51,12 @@ def key_profile(rows: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), hot_
     if not quantiles:
         return out
     all_values = stats.agg(F.coalesce(F.sum("m"), F.lit(0))).head()[0]
-    limit = all_values // hot_share
-    ranks = F.posexplode(F.array(*[F.greatest(F.ceil(F.lit(float(q)) * F.col("m")), F.lit(1)).cast("bigint") for q in quantiles])).alias("qi", "rank")
-    # fewer than hot_share keys can exceed 1/hot_share of all values
+    limit = min(all_values // hot_share, most)
+    ranks = F.array(*[F.greatest(F.ceil(F.lit(float(q)) * F.col("m")), F.lit(1)).cast("bigint") for q in quantiles]).alias("ranks")
+    # at most all_values / limit keys can exceed the limit
     hot = stats.filter(F.col("m") > limit).select("key", "lo", "hi", ranks).collect()
     hot_keys = {x["key"] for x in hot}
-    found = _select_hot(r, hot, bins)
+    found = _select(r, {x["key"]: (x["lo"], x["hi"], x["ranks"]) for x in hot}, bins)
     spark = rows.sparkSession
     kt = rows.schema["key"].dataType.simpleString()
     q_names = [f"q{i}" for i in range(len(quantiles))]
@@ -68,28 +74,57 @@ def key_profile(rows: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), hot_
     return out.join(qs, F.col("key").eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
-def _select_hot(r: DataFrame, hot: list, bins: int) -> dict[tuple, float]:
+def _select(r: DataFrame, wanted: dict, bins: int) -> dict[tuple, float]:
+    """{(key, number): value} of wanted {key: (least, greatest value, ranks)}, over rows (key, v, w)."""
     spark = r.sparkSession
     kt = r.schema["key"].dataType.simpleString()
-    state = {(x["key"], x["qi"]): (x["lo"], x["hi"], x["rank"]) for x in hot}
+    state = {(k, lo, hi): [(i, rank) for i, rank in enumerate(ranks)] for k, (lo, hi, ranks) in wanted.items()}
     found: dict[tuple, float] = {}
     while True:
-        for k, (lo, hi, _) in list(state.items()):
-            if lo == hi:
-                found[k] = lo
-                del state[k]
+        for k, lo, hi in [x for x in state if x[1] == x[2]]:
+            found |= {(k, i): lo for i, _ in state.pop((k, lo, hi))}
         if not state:
             return found
-        bounds = spark.createDataFrame([(k, q, lo, hi, rank) for (k, q), (lo, hi, rank) in state.items()], f"_k {kt}, qi int, lo double, hi double, rank bigint")
-        j = r.join(F.broadcast(bounds), F.col("key").eqNullSafe(F.col("_k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        # bounds of a key are equal or don't overlap: a row falls within one of them at most
+        bounds = list(state)
+        at = spark.createDataFrame([(i, *b) for i, b in enumerate(bounds)], f"_i int, _k {kt}, lo double, hi double")
+        j = r.join(F.broadcast(at), F.col("key").eqNullSafe(F.col("_k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         width = F.col("hi") - F.col("lo")
         part = F.when(width < float("inf"), (F.col("v") - F.col("lo")) / width).otherwise((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
         b = F.least(F.floor(part * bins), F.lit(bins - 1)).alias("bin")
-        counts = j.groupBy("key", "qi", "rank", b).agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        cum = F.sum("w").over(Window.partitionBy("key", "qi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        here = counts.withColumn("cum", cum).filter("cum >= rank and cum - w < rank")
-        for x in here.select("key", "qi", "lo", "hi", (F.col("rank") - F.col("cum") + F.col("w")).alias("rank")).collect():
-            state[x["key"], x["qi"]] = (x["lo"], x["hi"], x["rank"])
+        counts = j.groupBy("_i", b).agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by_bounds: dict[int, list] = {}
+        for x in counts.collect():  # at most len(bounds) x bins rows
+            by_bounds.setdefault(x["_i"], []).append((x["bin"], x["w"], x["lo"], x["hi"]))
+        new: dict[tuple, list] = {}
+        for i, rows in by_bounds.items():
+            todo, before = sorted(state[bounds[i]], key=lambda t: t[1]), 0
+            for _, w, lo, hi in sorted(rows):
+                while todo and todo[0][1] <= before + w:
+                    number, rank = todo.pop(0)
+                    new.setdefault((bounds[i][0], lo, hi), []).append((number, rank - before))
+                before += w
+        state = new
+
+
+def hot_keys(rows: DataFrame, share: int, bins: int = 1024) -> DataFrame:
+    """(key, weight) of the non-null keys with more than 1/share of the weight of all rows (key, weight), null keys' included.
+
+    No key is grouped to find them: exact selection gives the hashes at `share` evenly spaced ranks, and only rows with
+    these hashes, at most `share` of them, are counted by key. `rows` is read once per round.
+    """
+    r = rows.select("key", F.coalesce(F.col("weight").cast("bigint"), F.lit(1)).alias("w"))
+    # 52 bits of the hash, which a double holds exactly
+    h = F.shiftrightunsigned(F.xxhash64("key"), 12).cast("double")
+    known = r.filter("key is not null")
+    hashed = known.select(F.lit(0).alias("key"), h.alias("v"), "w")
+    of = F.when(F.col("key").isNotNull(), h)
+    total, m, lo, hi = r.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("w"), F.sum(F.when(of.isNotNull(), F.col("w"))))], F.min(of), F.max(of)).head()
+    # so close that a key with more than 1/share of the total cannot lie between two of them
+    step = total // share + 1
+    found = _select(hashed, {0: (lo, hi, list(range(step, m + 1, step)))}, bins) if m >= step else {}
+    hot = known.filter(h.isin(sorted(set(found.values())))) if found else known.filter(F.lit(False))
+    return hot.groupBy("key").agg(F.sum("w").alias("weight")).filter(F.col("weight") * share > total)
 
 
 def keyed_lists(rows: DataFrame, key: str, item: str, span: int = 65_536) -> DataFrame:

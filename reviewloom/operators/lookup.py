@@ -60,7 +60,7 @@ def product_reviews_range(probes: DataFrame, spans: DataFrame) -> DataFrame:
     return probes.select("probe").join(s, "probe").select("probe", ids.alias("review_id"))
 
 
-class IndexReader:
+class ReviewLookup:
     """The eleven getters over index tables (DataFrames `reviews`, `products`, `tokens`, `postings`).
 
     A getter filters on its key, so over the persisted index the Parquet min/max statistics of the sorted files

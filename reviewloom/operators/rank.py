@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.arrow_tokens import tokenize_batch
 from reviewloom.functions.tokens import tokens
+from reviewloom.operators.build import postings
 from reviewloom.operators.numbering import dense_index
 
 
@@ -34,10 +37,13 @@ def query_terms(spark, query: str) -> DataFrame:
     return spark.createDataFrame([(query,)], "q string").select(F.explode(tokens("q")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("q_tf"))
 
 
-def matching_postings(query: str, post: DataFrame) -> DataFrame:
-    """The postings of the query's terms only. The semi-join goes below the aggregate that makes postings from texts, so
-    no other term is counted or moved."""
-    return post.join(F.broadcast(query_terms(post.sparkSession, query).select("token")), "token", "left_semi")
+def query_tokens(query: str) -> tuple[str, ...]:
+    return tuple(sorted(set(tokenize_batch(pa.array([query]))[1].to_pylist())))
+
+
+def matching_postings(query: str, reviews: DataFrame) -> DataFrame:
+    """The postings of the query's terms only; no other term leaves the batch it is read in."""
+    return postings(reviews, query_tokens(query))
 
 
 def vector_space_search(query: str, post: DataFrame, stats: DataFrame, n_reviews: int, p: RankParams = RankParams()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.error_parse import loaded, parse_raw, rejected
-from reviewloom.operators.key_profile import key_profile, keyed_lists
+from reviewloom.operators.key_profile import hot_keys, key_profile, keyed_lists
 from reviewloom.operators.reviews import current_reviews
 from reviewloom.operators.term_counts import tf_histogram
 from reviewloom.session import stash
@@ -89,12 +89,9 @@ _POST = _R + ", post AS (SELECT token, review_id, count(*) AS tf FROM (SELECT re
     f" UNION ALL SELECT 'token', token FROM post GROUP BY token HAVING sum(tf) * {SHARE} > (SELECT sum(tf) FROM post)"
 )
 def p4_found(s, d):
-    products, tokens = key_profile(_product_rows(s, d, "length")), key_profile(_token_rows(s, d))
-    n = products.agg(F.sum("n").alias("all")).scalar()
-    p = products.filter(F.col("key").isNotNull() & (F.col("n") * SHARE > n)).select(F.lit("product").alias("kind"), F.col("key").alias("key_value"))
-    c = tokens.agg(F.sum("total").alias("all")).scalar()
-    t = tokens.filter(F.col("total") * SHARE > c).select(F.lit("token").alias("kind"), F.col("key").alias("key_value"))
-    return p.unionAll(t)
+    p = hot_keys(_product_rows(s, d, "length").select("key", "weight"), SHARE)
+    t = hot_keys(_token_rows(s, d).select("key", (F.col("value") * F.col("weight")).alias("weight")), SHARE)
+    return p.select(F.lit("product").alias("kind"), F.col("key").alias("key_value")).unionAll(t.select(F.lit("token").alias("kind"), F.col("key").alias("key_value")))
 
 
 @query(

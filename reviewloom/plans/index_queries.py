@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import codecs
+from reviewloom.functions.tokens import token_count
 from reviewloom.operators import build, lookup, rank
 from reviewloom.operators.reviews import current_reviews
-from reviewloom.session import stash
-from reviewloom.sources.dump import parse_records
+from reviewloom.session import shared_path, stash
+from reviewloom.sources.dump import parse_records, read_dump, split_valid, write_dump
+from reviewloom.sources.index import drop_index, open_index, write_index
 from reviewloom.sources.tables import documents_as_reviews, table
 
 QUERY = "the great battery under my kettle"
@@ -160,6 +162,13 @@ def token_dictionary(s, d):
     return build.token_dictionary(_stats(s, d))
 
 
+@query(_BYTES + " SELECT token, segment, rpad(b, CAST(8 * n_bytes AS INT), '0') AS bits FROM bits JOIN coded USING (token, segment)")
+def postings_bits(s, d):
+    """The packed bytes as strings of bits again."""
+    c = codecs.coded_segments(build.postings_gaps(_post(s, d)))
+    return c.select("token", "segment", codecs.unpack_bits("data").alias("bits"))
+
+
 @query(_POST + f" SELECT token, {_SEG} AS segment, string_agg(review_id || ',' || tf, ',' ORDER BY review_id) AS postings FROM post GROUP BY ALL")
 def postings_flat(s, d):
     return build.postings_flat(_post(s, d))
@@ -172,9 +181,22 @@ def postings_gaps(s, d):
 
 @query(_POST + " SELECT token, review_id, tf FROM post")
 def postings_gaps_roundtrip(s, d):
-    g = build.postings_gaps(_post(s, d))
-    # the order key; inside a token it ascends like the list itself
-    return build.gaps_to_ids(g.withColumnRenamed("review_id", "pos"))
+    return build.gaps_to_ids(build.gap_lists(build.postings_gaps(_post(s, d))))
+
+
+@query(
+    _POST + f" SELECT token, {_SEG} AS segment, string_agg(review_id, ',' ORDER BY review_id) AS ids, string_agg(tf, ',' ORDER BY review_id) AS frequencies FROM post GROUP BY ALL"
+)
+def postings_slices(s, d):
+    """The two halves of the flat lists."""
+    flat = build.postings_flat(_post(s, d)).withColumn("l", F.split("postings", ","))
+    return flat.select("token", "segment", *[F.array_join(build.flat_part(F.col("l"), p), ",").alias(p) for p in ("ids", "frequencies")])
+
+
+@query(_POST + " SELECT token, review_id, tf FROM post")
+def postings_decoded(s, d):
+    """Whole coded segments read back."""
+    return codecs.decoded_postings(codecs.coded_segments(build.postings_gaps(_post(s, d))))
 
 
 @query(_R + " SELECT review_id AS n, repeat('1', length(bin(review_id + 1)) - 1) || '0' || substr(bin(review_id + 1), 2) AS code FROM r")
@@ -190,7 +212,7 @@ def delta_codes(s, d):
 def _coded_pair(s, d, encode, decode):
     n = _reviews(s, d).select(F.col("review_id").alias("n"))
     bits = n.select("n", F.concat(encode("n"), encode(F.col("n") % 7)).alias("b"))
-    packed = bits.select("n", codecs.unpack_bits(codecs.pack_bits("b")).alias("b"))
+    packed = bits.select("n", codecs.pack_bits("b").alias("b"))
     dec = packed.select("n", decode("b", F.lit(2)).alias("v"))
     return dec.select("n", F.array_join(F.col("v").cast("array<string>"), ",").alias("decoded"))
 
@@ -222,16 +244,10 @@ def _packed_reviews(s, d):
     r = _reviews(s, d, "product_id", "helpfulness_num", "helpfulness_denom", "text")
     nums = build.products(r).select("product_id", "product_num")
     zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0))
-    full = r.join(nums, "product_id", "left").withColumn("length", codecs_length())
+    full = r.join(nums, "product_id", "left").withColumn("length", token_count("text"))
     return full.select("review_id", codecs.group_varint(zero("product_num"), zero("helpfulness_num"), zero("helpfulness_denom"), "length").alias("b"))
 
 
-def codecs_length():
-    from reviewloom.functions.tokens import token_count
-
-    return token_count("text")
-
-
 @query(
     _PACK + " SELECT review_id, printf('%02X', CAST((length(h0) // 2 - 1) * 64 + (length(h1) // 2 - 1) * 16 + (length(h2) // 2 - 1) * 4 + length(h3) // 2 - 1 AS INT)) || h0 || h1 || h2 || h3 AS hex FROM hx"
 )
@@ -246,13 +262,41 @@ def group_varint_roundtrip(s, d):
 
 
 @query(
-    _DICT + ", fc AS (SELECT token_num, token, token_num % 8 AS o, CASE WHEN token_num % 8 = 0 THEN 0 ELSE"
+    _PACK.replace("v3 FROM r", "v3, coalesce(score, 0) AS v4 FROM r").replace("FROM pk)", ", v4 FROM pk)")
+    + " SELECT review_id, printf('%02X', CAST((length(h0) // 2 - 1) * 64 + (length(h1) // 2 - 1) * 16 + (length(h2) // 2 - 1) * 4 + length(h3) // 2 - 1 AS INT)) || h0 || h1 || h2 || h3 || printf('%02X', v4) AS hex FROM hx"
+)
+def review_rows(s, d):
+    """The stored form of a review: four numbers and the score byte."""
+    return _stored_reviews(s, d).select("review_id", F.hex("b").alias("hex"))
+
+
+def _stored_reviews(s, d):
+    r = _reviews(s, d, "product_id", "helpfulness_num", "helpfulness_denom", "score", "text")
+    full = r.join(build.products(r).select("product_id", "product_num"), "product_id", "left").withColumn("length", token_count("text"))
+    return full.select("review_id", codecs.review_row("product_num", "helpfulness_num", "helpfulness_denom", "length", "score").alias("b"))
+
+
+@query(
+    _PACK.replace("v3 FROM r", "v3, coalesce(score, 0) AS v4 FROM r")
+    + " SELECT review_id, v0 AS product_num, CAST(v1 AS BIGINT) AS helpfulness_num, CAST(v2 AS BIGINT) AS helpfulness_denom, v3 AS length, v4 AS score FROM pk"
+)
+def review_rows_roundtrip(s, d):
+    v = _stored_reviews(s, d).select("review_id", codecs.review_row_decode("b").alias("r"))
+    names = ("product_num", "helpfulness_num", "helpfulness_denom", "length")
+    return v.select("review_id", *[F.col(f"r.v.v{i}").alias(n) for i, n in enumerate(names)], F.col("r.score").alias("score"))
+
+
+_FRONT = (
+    ", fc AS (SELECT token_num, token, token_num % 8 AS o, CASE WHEN token_num % 8 = 0 THEN 0 ELSE"
     " coalesce(list_max(list_filter(range(1, length(token) + 1), lambda i: i <= length(prev) AND left(token, CAST(i AS INT)) = left(prev, CAST(i AS INT)))), 0) END AS p"
     " FROM (SELECT *, lag(token) OVER (ORDER BY token_num) AS prev FROM dict))"
     ", fs AS (SELECT *, substr(token, CAST(p + 1 AS INT)) AS suffix FROM fc)"
-    " SELECT token_num, CAST(o AS INT) AS block_offset, CASE WHEN o > 0 THEN CAST(p AS INT) END AS prefix_len, suffix,"
+    " SELECT token_num AS {0}, CAST(o AS INT) AS block_offset, CASE WHEN o > 0 THEN CAST(p AS INT) END AS prefix_len, suffix,"
     " CASE WHEN o = 0 THEN CAST(coalesce(sum(length(suffix)) OVER (ORDER BY token_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS pointer FROM fs"
 )
+
+
+@query(_DICT + _FRONT.format("token_num"))
 def front_coding(s, d):
     return codecs.front_coding(build.token_dictionary(_stats(s, d)))
 
@@ -262,6 +306,33 @@ def front_coding_roundtrip(s, d):
     return codecs.front_decoding(codecs.front_coding(build.token_dictionary(_stats(s, d))))
 
 
+_PROD = _NUMS + ", dict AS (SELECT product_num AS token_num, product_id AS token FROM nums)"
+
+
+@query(_PROD + _FRONT.format("product_num"))
+def product_front_coding(s, d):
+    return codecs.front_coding(build.products(_reviews(s, d, "product_id")), "product_num", "product_id")
+
+
+@query(_NUMS + " SELECT product_num, product_id FROM nums")
+def product_front_coding_roundtrip(s, d):
+    coded = codecs.front_coding(build.products(_reviews(s, d, "product_id")), "product_num", "product_id")
+    return codecs.front_decoding(coded, "product_num", "product_id")
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(s, d) -> lookup.ReviewLookup:
+    """The persisted index of a folder's reviews, built once per application: lookups read it with pruning."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = shared_path(s, "index")
+        write_index(_reviews(s, d, "product_id", "score", "helpfulness_num", "helpfulness_denom", "text"), path)
+        _indexes[key] = path
+    return open_index(s, _indexes[key])
+
+
 def _token_probes(s):
     # an expression of known size, so that Catalyst can see it is small
     return s.range(1).select(F.explode(F.array(*map(F.lit, TOKEN_PROBES))).alias("probe"))
@@ -279,17 +350,17 @@ def _product_probes(r):
 
 @query(_DICT + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, coalesce(token_num, -1) AS token_num FROM probes LEFT JOIN dict ON lower(probe) = token")
 def token_lookup(s, d):
-    return lookup.token_numbers(_token_probes(s), build.token_dictionary(_stats(s, d)))
+    return lookup.token_numbers(_token_probes(s), _index(s, d).tokens)
 
 
 @query(_STATS + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf FROM probes LEFT JOIN stats ON lower(probe) = token")
 def token_freq_lookup(s, d):
-    return lookup.token_frequencies(_token_probes(s), _stats(s, d))
+    return lookup.token_frequencies(_token_probes(s), _index(s, d).tokens)
 
 
 @query(_POST + f", probes AS (SELECT * FROM (VALUES {_TPROBES}) v(probe)) SELECT probe, review_id, tf FROM probes JOIN post ON lower(probe) = token")
 def postings_lookup(s, d):
-    return lookup.token_postings(_token_probes(s), _post(s, d))
+    return lookup.token_postings(_token_probes(s), _index(s, d).postings)
 
 
 @query(
@@ -322,6 +393,71 @@ def product_reviews_range(s, d):
     return lookup.product_reviews_range(_product_probes(r), build.product_spans(r))
 
 
+@query(
+    _STATS + " SELECT (SELECT count(*) FROM r) AS n_reviews, (SELECT CAST(coalesce(sum(cf), 0) AS BIGINT) FROM stats) AS n_tokens"
+)
+def index_totals(s, d):
+    x = _index(s, d)
+    return s.createDataFrame([(x.number_of_reviews(), x.token_size_of_reviews())], "n_reviews bigint, n_tokens bigint")
+
+
+@query(
+    _NUMS + " SELECT review_id, r.product_id, nums.product_num, score, helpfulness_num, helpfulness_denom, CAST(coalesce(len(regexp_extract_all(text, '[a-zA-Z0-9]+')), 0) AS BIGINT) AS length, text"
+    " FROM r LEFT JOIN nums ON r.product_id = nums.product_id"
+)
+def index_reviews(s, d):
+    return _index(s, d).reviews
+
+
+@query(
+    _NUMS + " SELECT nums.product_num, product_id, min(review_id) AS first_review_id, count(*) - 1 AS span_length, count(*) AS n_reviews FROM r JOIN nums USING (product_id) GROUP BY ALL"
+)
+def index_products(s, d):
+    return _index(s, d).products
+
+
+@query(_DICT + " SELECT token_num, token, df, cf, token_length FROM dict")
+def index_tokens(s, d):
+    return _index(s, d).tokens
+
+
+@query(_POST + " SELECT token, review_id, tf FROM post")
+def index_postings(s, d):
+    return _index(s, d).postings
+
+
+@query(_POST + " SELECT review_id, tf FROM post WHERE token = 'kettle'")
+def index_reviews_with_token(s, d):
+    """The getter for one token, over files sorted by token: their minima and maxima leave few row groups to read."""
+    return _index(s, d).reviews_with_token("Kettle")
+
+
+@query(
+    _R + f", {_RPROBES} SELECT probe, coalesce(score, -1) AS score, coalesce(helpfulness_num, -1) AS helpfulness_num, coalesce(helpfulness_denom, -1) AS helpfulness_denom,"
+    " coalesce(CASE WHEN review_id IS NOT NULL THEN coalesce(len(regexp_extract_all(text, '[a-zA-Z0-9]+')), 0) END, -1) AS length, product_id FROM probes LEFT JOIN r ON probe = review_id"
+)
+def index_review_lookup(s, d):
+    x = _index(s, d)
+    probes = _review_probes(s, x.reviews)
+    return lookup.review_attributes(probes, x.reviews).join(lookup.review_products(probes, x.reviews), "probe")
+
+
+@query(_R + f", {_PPROBES} SELECT probe, review_id FROM probes JOIN r ON probe = product_id")
+def index_product_reviews(s, d):
+    x = _index(s, d)
+    return lookup.product_reviews(_product_probes(x.reviews), x.reviews)
+
+
+@query("o AS (SELECT 4 AS tables, true AS dropped, false AS dropped_again) SELECT * FROM o")
+def index_drop(s, d):
+    """Builds an index of the products' reviews, drops it, and drops it again: what was there and what was done."""
+    path = shared_path(s, "dropped-index")
+    write_index(_reviews(s, d, "product_id", "score", "helpfulness_num", "helpfulness_denom", "text"), path)
+    x = open_index(s, path)
+    n = len({t.inputFiles()[0].rpartition("/")[0] for t in (x.reviews, x.products, x.tokens, x.postings) if t.inputFiles()})
+    return s.createDataFrame([(n, drop_index(s, path), drop_index(s, path))], "tables int, dropped boolean, dropped_again boolean")
+
+
 def _rated(s, d):
     return _reviews(s, d, "product_id", *lookup.ATTRIBUTES)
 
@@ -353,7 +489,7 @@ def product_quality(s, d):
 def _hits(s, d):
     r = _reviews(s, d, "text")
     # read by the frequencies and by the scores
-    post = stash(rank.matching_postings(QUERY, build.postings(r)), "matching-postings")
+    post = stash(rank.matching_postings(QUERY, r), "matching-postings")
     n = table(s, d, "reviews").agg(F.count_distinct("review_id")).head()[0]
     return rank.vector_space_search(QUERY, post, build.token_stats(post), n)
 
@@ -389,10 +525,50 @@ def product_search(s, d):
 )
 def document_reviews(s, d):
     r = documents_as_reviews(table(s, d, "documents"))
-    return r.withColumn("length", codecs_length()).drop("text")
+    return r.withColumn("length", token_count("text")).drop("text")
 
 
-@query("p AS (SELECT raw_id, trim(regexp_extract(raw, 'product/productId: ?([^\\n]*)', 1)) AS product_id FROM raw_reviews WHERE fmt = 'dump' AND starts_with(raw, 'product/productId:')) SELECT raw_id, product_id FROM p")
+_TEXT = r"regexp_replace(regexp_replace(text, '\n((?:product|review)/\w+: )', chr(10) || ' \1', 'g'), '\n+$', '')"
+_SOUND = "score IS NOT NULL AND text IS NOT NULL AND helpfulness_num IS NOT NULL AND helpfulness_denom IS NOT NULL"
+
+
+def _dump(s, d):
+    """All reviews as a dump, written and scanned."""
+    path = shared_path(s, "dump")
+    write_dump(_reviews(s, d, "product_id", "score", "helpfulness_num", "helpfulness_denom", "text"), path)
+    return read_dump(s, path)
+
+
+@query(
+    _R + f" SELECT row_number() OVER (ORDER BY review_id) AS review_id, trim(product_id) AS product_id, helpfulness_num || '/' || helpfulness_denom AS helpfulness, CAST(score AS VARCHAR) AS score, {_TEXT} AS text"
+    f" FROM r WHERE coalesce(trim(product_id), '') <> '' AND {_SOUND}"
+)
+def dump_scan(s, d):
+    """All fields of the valid records of a dump, with dense ids in file order."""
+    return _dump(s, d)[0]
+
+
+@query(
+    _R + " SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(trim(product_id), '') = '' THEN 'missing product_id' WHEN text IS NULL THEN 'missing text'"
+    " WHEN helpfulness_num IS NULL OR helpfulness_denom IS NULL THEN 'missing helpfulness' WHEN score IS NULL THEN 'missing score' END AS reason FROM r) WHERE reason IS NOT NULL GROUP BY 1"
+)
+def dump_quarantine(s, d):
+    return _dump(s, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "l AS (SELECT raw_id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM raw_reviews WHERE fmt = 'dump'),"
+    r" o AS (SELECT *, sum(CAST(regexp_matches(line, '^(product|review)/\w+: ') AS INT)) OVER (PARTITION BY raw_id ORDER BY i) AS g FROM l),"
+    r" f AS (SELECT raw_id, g, regexp_extract(first(line ORDER BY i), '^((?:product|review)/\w+):', 1) AS name, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(product|review)/\w+: ', '') AS v FROM o GROUP BY ALL),"
+    " k AS (SELECT raw_id, name, first(v ORDER BY g) AS v FROM f GROUP BY ALL),"
+    " p AS (SELECT raw_id, max(v) FILTER (name = 'product/productId') AS product_id, max(v) FILTER (name = 'review/helpfulness') AS helpfulness, max(v) FILTER (name = 'review/score') AS score, max(v) FILTER (name = 'review/text') AS text FROM k GROUP BY 1),"
+    " q AS (SELECT raw_id, trim(split_part(product_id, chr(10), 1)) AS product_id, trim(split_part(helpfulness, chr(10), 1)) AS helpfulness, trim(split_part(score, chr(10), 1)) AS score, text FROM p)"
+    " SELECT *, CASE WHEN coalesce(product_id, '') = '' THEN 'missing product_id' WHEN text IS NULL THEN 'missing text' WHEN helpfulness IS NULL THEN 'missing helpfulness' WHEN score IS NULL THEN 'missing score'"
+    r" WHEN NOT regexp_full_match(helpfulness, '\s*\d+\s*/\s*\d+\s*') THEN 'bad helpfulness' WHEN try_cast(score AS FLOAT) IS NULL THEN 'bad score' END AS reason FROM q"
+)
 def dump_records(s, d):
-    raw = table(s, d, "raw_reviews").filter("fmt = 'dump' and startswith(raw, 'product/productId:')").select("raw_id", F.col("raw").alias("record"))
-    return parse_records(raw).select("raw_id", "product_id")
+    """Every dump record of the raw table with its four fields, and why it is kept out if it is."""
+    raw = table(s, d, "raw_reviews").filter("fmt = 'dump'").select("raw_id", F.col("raw").alias("record"))
+    good, bad = split_valid(parse_records(raw))
+    cols = ["raw_id", "product_id", "helpfulness", "score", "text"]
+    return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionAll(bad.select(*cols, "reason"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Record start in the dump format, anchored at a line start (fixed value of the format).
 START = "product/productId: "
@@ -79,4 +78,19 @@ def read_dump(spark: SparkSession, path: str, join_lines: str | None = None) ->
     return number_reviews(valid, *ORDER).select("review_id", *FIELDS), bad.select("record", "reason")
 
 
-DUMP_FIELDS = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])
+def dump_record(reviews: DataFrame) -> DataFrame:
+    """(review_id, record) of typed review rows. A null field has no line. A line of the text that would open a field is moved by
+    a blank; line breaks at the end of a record are lost."""
+    inner = F.regexp_replace("text", r"\n((?:product|review)/\w+: )", "\n $1")
+    helpful = F.concat(F.col("helpfulness_num").cast("string"), F.lit("/"), F.col("helpfulness_denom").cast("string"))
+    value = {"product_id": F.col("product_id"), "helpfulness": helpful, "score": F.col("score").cast("string"), "text": inner}
+    lines = [F.concat(F.lit(f"{name}: "), value[c]) for c, name in FIELDS.items()]
+    # every record opens with its product line, be it empty
+    lines[0] = F.concat(F.lit(START), F.coalesce("product_id", F.lit("")))
+    return reviews.select("review_id", F.concat_ws("\n", *lines).alias("record"))
+
+
+def write_dump(reviews: DataFrame, path: str) -> None:
+    """Text files in the order of review_id, by file name and place."""
+    r = dump_record(reviews).repartitionByRange("review_id").sortWithinPartitions("review_id")
+    r.select("record").write.mode("overwrite").text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import schemas
 from reviewloom.operators import build
-from reviewloom.operators.lookup import IndexReader
+from reviewloom.operators.lookup import ReviewLookup
 
 TABLES = {"reviews": schemas.REVIEWS, "products": schemas.PRODUCTS, "tokens": schemas.TOKENS, "postings": schemas.POSTINGS}
 
@@ -37,9 +37,9 @@ def write_index(reviews: DataFrame, path: str) -> None:
     _sorted(build.token_dictionary(build.token_stats(stored)), "token").write.mode("overwrite").parquet(f"{path}/tokens")
 
 
-def open_index(spark: SparkSession, path: str) -> IndexReader:
+def open_index(spark: SparkSession, path: str) -> ReviewLookup:
     """Raises if a table is missing."""
-    return IndexReader(*[spark.read.schema(s).parquet(f"{path}/{t}") for t, s in TABLES.items()])
+    return ReviewLookup(*[spark.read.schema(s).parquet(f"{path}/{t}") for t, s in TABLES.items()])
 
 
 def drop_index(spark: SparkSession, path: str) -> bool:

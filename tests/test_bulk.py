@@ -1,12 +1,13 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators.error_parse import CSV_FIELDS, cheapest_edits, loaded, parse_raw, read_csv, rejected
-from reviewloom.operators.key_profile import key_profile, keyed_lists
+from reviewloom.operators.key_profile import hot_keys, key_profile, keyed_lists
 from reviewloom.operators.term_counts import tf_histogram
 
 
@@ -126,7 +127,21 @@ def exact(values, q):
     return v[max(math.ceil(q * len(v)), 1) - 1] if v else None
 
 
-@pytest.mark.parametrize("hot_share", [1, 3, 1024])
+def test_hot_keys(spark):
+    rnd = random.Random(4)
+    for n, share in ((0, 40), (1, 40), (39, 40), (40, 40), (41, 40), (2000, 40), (2000, 3), (500, 1)):
+        rows = [(rnd.choice(["a", "b", "c", None, *(f"k{i}" for i in range(60))]), rnd.choice([1, 1, 2, None, 9])) for _ in range(n)]
+        rows += [("edge", n // share), ("more", n // share + 1)] if n else []
+        by = Counter()
+        for k, w in rows:
+            by[k] += 1 if w is None else w
+        total = sum(by.values())
+        df = spark.createDataFrame(rows, "key string, weight int").withColumn("v", F.lit(0))
+        got = {r.key: r.weight for r in hot_keys(df, share, bins=5).collect()}
+        assert got == {k: w for k, w in by.items() if k is not None and w * share > total}
+
+
+@pytest.mark.parametrize("hot_share", [1, 3, 1024, 0])
 def test_key_profile(spark, hot_share):
     rnd = random.Random(hot_share)
     rows = []
@@ -134,7 +149,7 @@ def test_key_profile(spark, hot_share):
         rows += [(k, 7.0 if k == "flat" else rnd.choice([rnd.gauss(0, 1e6), float(rnd.randint(0, 5)), rnd.random() * 1e-9]), 1) for _ in range(n)]
     rows += [("hot", None, 1), ("nulls", None, 2), ("nulls", float("nan"), 1), ("cold", float("inf"), 1), ("warm", 2.0, 25), ("warm", 3.0, None), ("big", -1.7e308, 1), ("big", 1.7e308, 2)]
     qs = (0.0, 0.25, 0.5, 0.9, 1.0)
-    got = {r.key: r for r in key_profile(spark.createDataFrame(rows, "key string, value double, weight int"), qs, hot_share=hot_share, bins=4).collect()}
+    got = {r.key: r for r in key_profile(spark.createDataFrame(rows, "key string, value double, weight int"), qs, bins=4, **({"hot_share": hot_share} if hot_share else {"hot_share": 1, "most": 20})).collect()}
     for k in {r[0] for r in rows}:
         mine = [(v, w or 1) for x, v, w in rows if x == k]
         values = [v for v, w in mine if v is not None and math.isfinite(v) for _ in range(w)]

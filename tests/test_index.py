@@ -1,5 +1,9 @@
 import math
+import os
+import subprocess
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +75,9 @@ def test_gaps(spark):
     p = spark.createDataFrame([("a", i, 1) for i in (40, 45, 60, 70_000, 200_000)], "token string, review_id bigint, tf bigint")
     g = build.postings_gaps(p)
     assert [r.gap for r in g.orderBy("review_id").collect()] == [40, 5, 15, 69_940, 130_000]
-    back = build.gaps_to_ids(g.withColumnRenamed("review_id", "pos"))
+    lists = build.gap_lists(g)
+    assert lists.count() == 3 and "review_id" not in lists.schema.simpleString()
+    back = build.gaps_to_ids(lists)
     assert sorted(r.review_id for r in back.collect()) == [40, 45, 60, 70_000, 200_000]
 
 
@@ -129,7 +135,15 @@ def test_ranges_of_a_scattered_product(spark):
 def test_current_reviews(spark):
     t = [(1, "a", "2024-01-01"), (1, "a", "2024-02-01"), (2, None, "2024-01-01"), (None, "x", "2024-01-01"), (2, None, "2024-01-01")]
     df = spark.createDataFrame([(*x, 0) for x in t], "review_id bigint, text string, loaded_at string, _n int")
-    assert rows(current_reviews(df, "text")) == [(1, "a"), (2, None)]
+    for repeated in (10, 1, 0):
+        assert rows(current_reviews(df, "text", repeated=repeated)) == [(1, "a"), (2, None)]
+    # three deliveries, an unknown time, a clashing name
+    t = [(3, "c", f"2024-01-0{k}") for k in (3, 1, 2)] + [(4, "d", None), (4, "d", "2024-01-01"), (5, "e", None), (6, "f", "2024-01-02")]
+    df = spark.createDataFrame(t, "review_id bigint, last string, loaded_at string")
+    want = [(3, "c", "2024-01-01"), (4, "d", None), (5, "e", None), (6, "f", "2024-01-02")]
+    for repeated in (10, 0):
+        assert rows(current_reviews(df, "last", "loaded_at", repeated=repeated)) == want
+    assert rows(current_reviews(df.limit(0), "last")) == []
 
 
 def test_codec_goldens(spark):
@@ -159,9 +173,47 @@ def test_codec_round_trips(spark):
     assert spark.createDataFrame([("",)], "b string").select(codecs.unpack_bits(codecs.pack_bits("b")).alias("x")).head().x == ""
 
 
+def test_decoding_is_linear_and_checked():
+    rnd = np.random.default_rng(3)
+    values = [rnd.integers(0, 1 << int(rnd.integers(1, 40)), n) for n in (0, 1, 300, 70_000, 2)]
+
+    def gamma(n):
+        b = bin(n + 1)[2:]
+        return "1" * (len(b) - 1) + "0" + b[1:]
+
+    def delta(n):
+        b = bin(n + 1)[2:]
+        return gamma(len(b) - 1) + b[1:]
+
+    for kind, f in (("gamma", gamma), ("delta", delta)):
+        rows = ["".join(f(int(v)) for v in x) for x in values]
+        bits = np.frombuffer("".join(rows).encode(), dtype=np.uint8) - ord("0")
+        row, got = codecs.decode_bits(bits, np.cumsum([len(r) for r in rows]), np.full(5, 1 << 62), kind)
+        assert (row == np.repeat(range(5), [len(x) for x in values])).all() and (got == np.concatenate(values)).all()
+        for broken in ("1", "110", "0111"):
+            with pytest.raises(ValueError):
+                codecs.decode_bits(np.array(list(map(int, broken))), np.array([len(broken)]), np.array([9]), kind)
+        assert len(codecs.decode_bits(np.zeros(0, np.uint8), np.array([0]), np.array([9]), kind)[1]) == 0
+
+
+def test_postings_of_many_segments_come_back(spark):
+    p = spark.createDataFrame([(t, i, 1 + i % 3) for t in ("a", "b") for i in (1, 2, 40, 65_535, 65_536, 70_000, 200_000)], "token string, review_id bigint, tf bigint")
+    assert rows(codecs.decoded_postings(codecs.coded_segments(build.postings_gaps(p)))) == rows(p)
+    nulls = spark.createDataFrame([("10100", None), (None, 1), ("", 3)], "b string, n int").select(codecs.gamma_decode("b", F.col("n")).alias("v"))
+    assert [r.v for r in nulls.collect()] == [[2, 0, 0], None, []]
+    packed = spark.createDataFrame([("10100",)], "b string").select(codecs.gamma_decode(codecs.pack_bits("b"), F.lit(2)).alias("v"))
+    assert packed.head().v == [2, 0]
+
+
+def test_stored_review_rows(spark):
+    df = spark.createDataFrame([(1, 70_000, 1 << 24, 256, 0, 5), (2, None, None, 0, 3, None)], "id int, p bigint, a int, b int, n bigint, score int")
+    packed = df.select("id", codecs.review_row("p", "a", "b", "n", "score").alias("r"))
+    assert rows(packed.select("id", codecs.review_row_decode("r").alias("r")).select("id", "r.v.*", "r.score")) == [(1, 70_000, 1 << 24, 256, 0, 5), (2, 0, 0, 0, 3, 0)]
+
+
 def test_flat_slices(spark):
     df = spark.createDataFrame([([40, 3, 45, 2, 60, 1],)], "a array<int>")
-    assert list(df.select(build.even_odd(F.col("a"), "odd"), build.even_odd(F.col("a"), "even")).head()) == [[40, 45, 60], [3, 2, 1]]
+    assert list(df.select(build.flat_part(F.col("a"), "ids"), build.flat_part(F.col("a"), "frequencies")).head()) == [[40, 45, 60], [3, 2, 1]]
 
 
 def test_ranking(spark, mini, post):
@@ -257,6 +309,29 @@ def test_persisted_index(spark, mini, tmp_path):
     assert not index.drop_index(spark, path)
 
 
+def test_build_with_a_small_heap(tmp_path):
+    """Sorts and aggregates spill; a review table several times the execution memory is built."""
+    code = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from reviewloom.session import ensure_package
+from reviewloom.sources.index import open_index, write_index
+s = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
+ensure_package(s)
+word = lambda x: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", x), F.lit(5000)))
+r = s.range(1, 40001).select(F.col("id").alias("review_id"), F.concat(F.lit("p"), F.col("id") % 7).alias("product_id"), *[F.lit(1).alias(c) for c in ("score", "helpfulness_num", "helpfulness_denom")], F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), word)).alias("text"))
+write_index(r, {path!r})
+x = open_index(s, {path!r})
+print("built", x.number_of_reviews(), x.token_size_of_reviews(), x.postings.agg(F.sum("tf")).head()[0])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    done = subprocess.run([sys.executable, "-c", code.format(root=root, path=str(tmp_path / "index"))], capture_output=True, text=True, env=env, timeout=600)
+    assert "built 40000 2400000 2400000" in done.stdout, done.stderr[-2000:]
+
+
 def test_batch_lookups(spark, mini, post):
     ids = spark.createDataFrame([(i,) for i in (-1, 0, 1, 5, 6)], "probe bigint")
     a = {r.probe: tuple(r)[1:] for r in lookup.review_attributes(ids, mini).collect()}
