@@ -114,16 +114,23 @@ def hot_keys(rows: DataFrame, share: int, bins: int = 1024) -> DataFrame:
     these hashes, at most `share` of them, are counted by key. `rows` is read once per round.
     """
     r = rows.select("key", F.coalesce(F.col("weight").cast("bigint"), F.lit(1)).alias("w"))
-    # 52 bits of the hash, which a double holds exactly
-    h = F.shiftrightunsigned(F.xxhash64("key"), 12).cast("double")
-    known = r.filter("key is not null")
-    hashed = known.select(F.lit(0).alias("key"), h.alias("v"), "w")
-    of = F.when(F.col("key").isNotNull(), h)
-    total, m, lo, hi = r.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("w"), F.sum(F.when(of.isNotNull(), F.col("w"))))], F.min(of), F.max(of)).head()
+    hashed = r.select("key", "w", F.xxhash64("key").alias("h"))
+    # 52 bits of the hash, which a double holds exactly, and of these the upper ten
+    v = F.shiftrightunsigned("h", 12).cast("double")
+    hashed = hashed.select(F.when(F.col("key").isNotNull(), F.shiftrightunsigned("h", 54).cast("int")).alias("key"), v.alias("v"), "w", F.col("key").alias("of"))
+    first = hashed.groupBy("key").agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # at most 1,025 rows
+    total = sum(x["w"] for x in first)
     # so close that a key with more than 1/share of the total cannot lie between two of them
     step = total // share + 1
-    found = _select(hashed, {0: (lo, hi, list(range(step, m + 1, step)))}, bins) if m >= step else {}
-    hot = known.filter(h.isin(sorted(set(found.values())))) if found else known.filter(F.lit(False))
+    wanted, before = {}, 0
+    for x in sorted((x for x in first if x["key"] is not None), key=lambda x: x["key"]):
+        ranks = range(-before % step or step, x["w"] + 1, step)
+        if ranks:
+            wanted[x["key"]] = (x["lo"], x["hi"], list(ranks))
+        before += x["w"]
+    found = set(_select(hashed, wanted, bins).values())
+    known = hashed.filter("key is not null").select(F.col("of").alias("key"), "v", "w")
+    hot = known.filter(F.col("v").isin(sorted(found))) if found else known.filter(F.lit(False))
     return hot.groupBy("key").agg(F.sum("w").alias("weight")).filter(F.col("weight") * share > total)
 
 
