@@ -33,6 +33,7 @@ _ELEMENTS = (
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style head template noscript".split())
 _CONTAINERS = frozenset("body div section article main aside nav header footer td form".split())
+_ASIDE = frozenset("nav aside footer form".split())
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 _TAG = re.compile(r"</?(?:" + "|".join(sorted(_ELEMENTS, key=len, reverse=True)) + r")(?:\s[^<>]*|\s*/)?>", re.I)
@@ -42,7 +43,7 @@ _CHARREF = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-
 
 # In the patterns below no content may hold its own opening sign again, and line contents are matched possessively: a text
 # full of signs that are never closed takes linear time.
-_SPECIAL = re.compile(r"[<&#*_~`\[{|=$\\]|''|^-{3,}", re.M)
+_SPECIAL = re.compile(r"[<&#*_~`\[{|=$\\]|''|^ {0,3}-{2,}", re.M)
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _TICKS = re.compile(r"(?<!`)(`{1,2})(?!`)([^\n]+?)(?<!`)\1(?!`)")
@@ -52,7 +53,7 @@ _STAR = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])((?:[^*\n]|\n(?!\s*\n))+?)(?<![
 _UNDER = re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])((?:[^_\n]|(?<=\w)_(?=\w)|\n(?!\s*\n))+?)(?<![\s\\])\1(?!\w)")
 _STRIKE = re.compile(r"(?<!~)~~(?![\s~])((?:[^~\n]|\n(?!\s*\n))+?)(?<!\s)~~(?!~)")
 _LINK = re.compile(r"(!?)\[([^\[\]\n]*(?:\n(?!\n)[^\[\]\n]*)*)\]\(\s*<?[^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
-_REFERENCE = re.compile(r"(!?)(?<!\[)\[([^\[\]\n]+(?:\n(?!\n)[^\[\]\n]+)*)\]\[([^\[\]\n]*)\]")
+_REFERENCE = re.compile(r"(!?)(?<![\w\[\]])\[([^\[\]\n]+(?:\n(?!\n)[^\[\]\n]+)*)\]\[([^\[\]\n]*)\]")
 _DEFINITION = re.compile(r"^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S+[^\n]*$", re.M)
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 _RULER = re.compile(r"^[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*\|?|\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?)[ \t]*$", re.M)
@@ -61,70 +62,65 @@ _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^\n=](?:[^\n]*?[^\n=])?)[ \t]*\1[ \t]
 _APOS = re.compile(r"''+")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n]+(?:\n(?!\n)[^\[\]\n]+)*)\]\]")
 _EXTERNAL = re.compile(r"\[((?:https?:|ftp:|mailto:)?//[^\s\[\]]+|mailto:[^\s\[\]]+)([ \t]+[^\[\]\n]*(?:\n(?!\n)[^\[\]\n]*)*)?\]")
-_TEMPLATE = re.compile(r"\{\{([^{}|\n]+)((?:\|[^{}]*)?)\}\}")
+_BRACES = re.compile(r"(\{\{(?!\{)|\}\})")
 _BRACE_TABLE = re.compile(r"^[ \t]*\{\|([^\n]*)\n((?:(?!^[ \t]*\{\|).)*?)^[ \t]*\|\}", re.M | re.S)
 
 _COMMAND = re.compile(r"(?<!\\)\\(?:[a-zA-Z]+\*?|['`^\"~=.][a-zA-Z{]|[,;:!%&_#{}]|\\[ \t]*(?=\n|$))")
 _PATH = re.compile(r"\b[A-Za-z]:(?:\\[\w.$~-]+)+\\?")
 _DISPLAY = re.compile(r"(?<!\\)\$\$(?=[^$])(.+?)(?<!\\)\$\$|(?<!\\)\\\[((?:(?!\\\[).)+?)\\\]", re.S)
-_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,500}?)(?<![\s\\])\$(?![\d$])|(?<!\\)\\\(((?:(?!\\\().)+?)\\\)", re.S)
+_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]++)(?<![\s\\])\$(?![\d$])|(?<!\\)\\\(((?:(?!\\\().)+?)\\\)", re.S)
 _EQUATION = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath|math)(\*?)\}((?:(?!\\begin\{\1).)*?)\\end\{\1\2\}", re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?\n?((?:(?!\\begin\{\1\}).)*?)\\end\{\1\}", re.S)
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}")
 
 
-def _code_spans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for p in (_FENCE, _VERBATIM) for m in p.finditer(text)]
+class _Count:
+    """Constructs consumed, by family."""
+
+    def __init__(self) -> None:
+        self.of = dict.fromkeys(FAMILIES, 0)
+
+    def sub(self, family: str, pattern: re.Pattern, by, t: str) -> str:
+        t, n = pattern.subn(by, t)
+        self.of[family] += n
+        return t
 
 
 def find_families(text: str | None) -> list[str]:
-    """The notations of which the text holds at least one construct that their renderer would consume."""
+    """The notations of which the text's converters consume at least one construct.
+
+    Each converter reads the text by itself. HTML goes through the tree; a formula's and a code block's signs belong to it, so
+    wiki and Markdown are read without them.
+    """
     if not text or not _SPECIAL.search(text):
         return []
-    found = []
-    if "<" in text and (_TAG.search(text) or _COMMENT.search(text) or _DOCTYPE.search(text)) or "&" in text and _has_charref(text):
-        found.append("html")
-    # signs inside formulas and code belong to those
-    formulas = [_EQUATION, _DISPLAY, _MATH] if "\\" in text or "$" in text else []
-    text = _PATH.sub(" ", text) if ":\\" in text else text
-    bare = text
-    for p in formulas:
-        bare = p.sub(" ", bare)
-    verbatim = _VERBATIM.sub("\n", bare) if "\\begin" in bare else bare
-    if _is_markdown(verbatim):
-        found.append("markdown")
-    wiki = _FENCE.sub("\n", verbatim) if "```" in verbatim or "~~~" in verbatim else verbatim
-    if (
-        "''" in wiki
-        or "[[" in wiki and _WIKI_LINK.search(wiki)
-        or "[" in wiki and _EXTERNAL.search(wiki)
-        or "{{" in wiki and _TEMPLATE.search(wiki)
-        or "{|" in wiki and _BRACE_TABLE.search(wiki)
-        or "=" in wiki and _WIKI_HEAD.search(wiki)
-    ):
-        found.append("wiki")
-    if bare != text or "\\" in text and (_COMMAND.search(text) or _ENVIRONMENT.search(text)):
-        found.append("latex")
-    return found
-
-
-def _has_charref(text: str) -> bool:
-    return any(not m[1] or m[1] + ";" in html.entities.html5 for m in _CHARREF.finditer(text))
-
-
-def _is_markdown(t: str) -> bool:
-    return bool(
-        "`" in t and (_FENCE.search(t) or _TICKS.search(t))
-        or "#" in t and _ATX.search(t)
-        or "*" in t and _STAR.search(t)
-        or "_" in t and _UNDER.search(t)
-        or "~~" in t and _STRIKE.search(t)
-        or "](" in t and _LINK.search(t)
-        or "][" in t and _REFERENCE.search(t)
-        or "]:" in t and _DEFINITION.search(t)
-        or "|" in t and "-" in t and _RULER.search(t)
-        or ("\n==" in t or "\n--" in t or "\n=\n" in t) and any(not _WIKI_HEAD.match(m[0].split("\n")[0]) for m in _SETEXT.finditer(t))
-    )
+    n = _Count()
+    if "<" in text or "&" in text:
+        n.of["html"] = _tree(text).consumed
+    plain = _PATH.sub(" ", text) if ":\\" in text else text
+    bare = _formulas(plain, n, lambda kind, s: " ") if "\\" in plain or "$" in plain else plain
+    if "\\" in plain:
+        _from_latex(plain, _Marks(plain), n)
+    if "\\begin" in bare:
+        bare = _VERBATIM.sub("\n", bare)
+    _from_markdown(_code(bare, n, lambda kind, s: " "), _Marks(bare), n)
+    wiki = _FENCE.sub("\n", bare) if "```" in bare or "~~~" in bare else bare
+    if any(x in wiki for x in ("''", "[", "{{", "{|", "=")):
+        _from_wiki(wiki, _Marks(wiki), n)
+    return [f for f in FAMILIES if n.of[f]]
+
+
+def _formulas(t: str, n: _Count, hold) -> str:
+    for kind, pattern in (("formula", _EQUATION), ("formula", _DISPLAY), ("math", _MATH)):
+        t = n.sub("latex", pattern, lambda x: hold(kind, x[3].strip() if pattern is _EQUATION else (x[1] or x[2]).strip()), t)  # noqa: B023
+    return t
+
+
+def _code(t: str, n: _Count, hold) -> str:
+    if "`" in t or "~~~" in t:
+        t = n.sub("markdown", _FENCE, lambda x: hold("code", x[2].rstrip("\n")), t)
+        t = n.sub("markdown", _TICKS, lambda x: hold("ticks", x[2].strip()), t)
+    return t
 
 
 class _Node:
@@ -138,8 +134,17 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("#root", None)
+        #: Tags, comments, declarations and character references read.
+        self.consumed = 0
+
+    def handle_comment(self, data):
+        self.consumed += 1
+
+    def handle_decl(self, decl):
+        self.consumed += 1
 
     def handle_starttag(self, tag, attrs):
+        self.consumed += 1
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             self._close(tag, within=("ul", "ol", "table", "tr", "dl", "div", "#root") if tag != "p" else ("#root",) if self.at.name == "p" else ())
         n = _Node(tag, self.at)
@@ -163,6 +168,7 @@ class _Tree(HTMLParser):
             n = n.parent
 
     def handle_endtag(self, tag):
+        self.consumed += 1
         n = self.at
         while n.parent is not None and n.name != tag:
             n = n.parent
@@ -187,8 +193,9 @@ def keep_best(root: _Node) -> list:
     """The parts of the tree to keep, in order.
 
     A paragraph gives 1 point, 1 for each comma and 1 for each 100 characters (3 at most): all to its parent, half to
-    its grandparent. A container's points are multiplied by 1 less its link density. Kept are the best container and
-    those siblings with at least a fifth of its points (10 at least), or running text with few links.
+    its grandparent. A container's points are multiplied by 1 less its link density. Kept is the best container and, beside it
+    and beside each container around it, what has at least a fifth of its points (10 at least) or few links; navigation,
+    asides, footers and forms only by their points.
     """
     nodes = _walk(root)
     text_of: dict[int, list[str]] = {}
@@ -214,14 +221,19 @@ def keep_best(root: _Node) -> list:
         # loose text around containers: drop what is mostly links
         return [c for c in root.children if isinstance(c, str) or c.name not in _CONTAINERS or density(c) < 0.5]
     least = max(10.0, score(best) * 0.2)
-    kept = []
-    for c in best.parent.children:
-        if c is best:
-            kept.append(c)
-        elif isinstance(c, str):
-            kept.append(c)
-        elif c.points and score(c) >= least or c.name in (*_HEADINGS, "p", "pre", "table", "blockquote") and density(c) < 0.25:
-            kept.append(c)
+    kept: list = [best]
+    inner = best
+    while inner.parent is not None:
+        before: list = []
+        after: list = []
+        side = before
+        for c in inner.parent.children:
+            if c is inner:
+                side = after
+            elif isinstance(c, str) or c.points and score(c) >= least or c.name not in _ASIDE and density(c) < 0.25:
+                side.append(c)
+        kept = before + kept + after
+        inner = inner.parent
     return kept
 
 
@@ -291,26 +303,53 @@ def _flat(n: _Node) -> str:
     return "".join(out)
 
 
-def _from_html(text: str, m: _Marks) -> str:
+def _tree(text: str) -> _Tree:
     # a sign that opens no element is an ordinary character
     spans = sorted([x.span() for p in (_TAG, _COMMENT, _DOCTYPE) for x in p.finditer(text)])
-    parts, at = [], 0
+    parts, plain, at = [], [], 0
     for a, b in spans:
         if a < at:
             continue
-        parts += [text[at:a].replace("<", "&lt;"), text[a:b]]
+        plain.append(text[at:a])
+        parts += [plain[-1].replace("<", "&lt;"), text[a:b]]
         at = b
-    parts.append(text[at:].replace("<", "&lt;"))
+    plain.append(text[at:])
+    parts.append(plain[-1].replace("<", "&lt;"))
     tree = _Tree()
     tree.feed("".join(parts))
     tree.close()
+    # the parser resolves references while it reads text
+    tree.consumed += sum(not m[1] or m[1] + ";" in html.entities.html5 for p in plain if "&" in p for m in _CHARREF.finditer(p))
+    return tree
+
+
+def _from_html(text: str, m: _Marks) -> str:
     out: list[str] = []
-    for part in keep_best(tree.root):
+    for part in keep_best(_tree(text).root):
         _render(part, m, out)
     return "".join(out).replace("\xa0", " ")
 
 
-def _from_wiki(t: str, m: _Marks) -> str:
+def _templates(t: str, n: _Count) -> str:
+    """Templates by what their unnamed arguments say, inner ones first; braces that nest in no template stay."""
+    stack: list[list[str]] = [[]]
+    for x in _BRACES.split(t):
+        if x == "{{":
+            stack.append([])
+        elif x == "}}" and len(stack) > 1:
+            inner = "".join(stack.pop())
+            name, *args = inner.split("|")
+            if name.strip() and "\n" not in name.strip() and not {"{", "}"} & set(inner):
+                n.of["wiki"] += 1
+                stack[-1].append(" ".join(a for a in args if "=" not in a))
+            else:
+                stack[-1].append("{{" + inner + "}}")
+        else:
+            stack[-1].append(x)
+    return "{{".join("".join(x) for x in stack)
+
+
+def _from_wiki(t: str, m: _Marks, n: _Count) -> str:
     def table(x):
         rows: list[list[str]] = [[]]
         for line in x[2].split("\n"):
@@ -327,23 +366,19 @@ def _from_wiki(t: str, m: _Marks) -> str:
             return parts[-1] if len(parts) > 1 and not re.fullmatch(r"thumb|frame|left|right|center|none|\d+px", parts[-1]) else ""
         return parts[-1]
 
-    t = _BRACE_TABLE.sub(table, t)
-    for _ in range(5):
-        new = _TEMPLATE.sub(lambda x: " ".join(p for p in x[2].split("|")[1:] if "=" not in p) if x[2] else "", t)
-        if new == t:
-            break
-        t = new
-    t = _WIKI_HEAD.sub(lambda x: m.head(len(x[1]), x[2]), t)
-    t = _WIKI_LINK.sub(link, t)
-    t = _EXTERNAL.sub(lambda x: (x[2] or x[1]).strip(), t)
-    t = _APOS.sub(lambda x: "'" if len(x[0]) == 4 else "", t)
+    t = n.sub("wiki", _BRACE_TABLE, table, t)
+    t = _templates(t, n) if "{{" in t else t
+    t = n.sub("wiki", _WIKI_HEAD, lambda x: m.head(len(x[1]), x[2]), t)
+    t = n.sub("wiki", _WIKI_LINK, link, t)
+    t = n.sub("wiki", _EXTERNAL, lambda x: (x[2] or x[1]).strip(), t)
+    t = n.sub("wiki", _APOS, lambda x: "'" if len(x[0]) == 4 else "", t)
     t = re.sub(r"(?:^ \S?[^\n]*(?:\n|\Z))+", lambda x: m.hold("code", re.sub(r"(?m)^ ", "", x[0]).rstrip("\n")), t, flags=re.M)
     return re.sub(r"^[*#]+[ \t]+", "- ", t, flags=re.M)
 
 
-def _from_markdown(t: str, m: _Marks) -> str:
-    t = _ATX.sub(lambda x: m.head(len(x[1]), x[2]), t)
-    t = _RULER.sub(m.k + "r", t)
+def _from_markdown(t: str, m: _Marks, n: _Count) -> str:
+    t = n.sub("markdown", _ATX, lambda x: m.head(len(x[1]), x[2]), t)
+    t = n.sub("markdown", _RULER, m.k + "r", t)
     lines = t.split("\n")
     for i, line in enumerate(lines):
         if line == m.k + "r":
@@ -356,15 +391,30 @@ def _from_markdown(t: str, m: _Marks) -> str:
                 lines[j] = m.row(lines[j].strip().strip("|").split("|"))
                 j += 1
     t = "\n".join(x for i, x in enumerate(lines) if not (x == "" and i and lines[i - 1].startswith(m.k + "t") and i + 1 < len(lines) and lines[i + 1].startswith(m.k + "t")))
-    t = _SETEXT.sub(lambda x: m.head(1 if x[2][0] == "=" else 2, x[1]), t)
-    t = _DEFINITION.sub("", t)
-    t = _LINK.sub(lambda x: x[2], t)
-    t = _REFERENCE.sub(lambda x: x[2], t)
+    def underlined(x):
+        n.of["markdown"] += not _WIKI_HEAD.match(x[1])
+        return m.head(1 if x[2][0] == "=" else 2, x[1])
+
+    t = _SETEXT.sub(underlined, t)
+    defined = {x[0].split("]:")[0].split("[", 1)[1] for x in _DEFINITION.finditer(t)} if "]:" in t else ()
+    t = n.sub("markdown", _DEFINITION, "", t)
+    t = n.sub("markdown", _LINK, lambda x: x[2], t)
+
+    def reference(x):
+        # without a definition, two numbers in brackets are places in an array or in a bibliography
+        if x[2].isdigit() and x[3].isdigit() and x[3] not in defined:
+            return x[0]
+        n.of["markdown"] += 1
+        return x[2]
+
+    t = _REFERENCE.sub(reference, t) if "][" in t else t
     t = _AUTOLINK.sub(lambda x: x[1], t)
-    for _ in range(2):
-        t = _STAR.sub(lambda x: x[2], t)
-        t = _UNDER.sub(lambda x: x[2], t)
-    t = _STRIKE.sub(lambda x: x[1], t)
+    before = None
+    while t != before:  # one round a level of nesting
+        before = t
+        t = n.sub("markdown", _STAR, lambda x: x[2], t)
+        t = n.sub("markdown", _UNDER, lambda x: x[2], t)
+    t = n.sub("markdown", _STRIKE, lambda x: x[1], t)
     return re.sub(r"^[ \t]*[*+][ \t]+", "- ", t, flags=re.M)
 
 
@@ -373,22 +423,40 @@ _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u
 _SECTION = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _WORDS = {"dots": "…", "ldots": "…", "textbackslash": "\\", "LaTeX": "LaTeX", "TeX": "TeX", "quad": " ", "qquad": " ", "newline": "\n", "par": "\n\n"}
 _DROPPED = frozenset("ref cite label eqref pageref citep citet bibliography bibliographystyle usepackage documentclass index vspace hspace".split())
-_GROUP = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
-_WITH_ARG = re.compile(r"\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?" + _GROUP)
+_OPENER = re.compile(r"(?<!\\)\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?\Z")
 _TABULAR = re.compile(r"\\begin\{(tabular|array)\*?\}(?:\{[^}\n]*\})?((?:(?!\\begin\{\1).)*?)\\end\{\1\*?\}", re.S)
 
 
-def _from_latex(t: str, m: _Marks) -> str:
+def _arguments(t: str, command) -> str:
+    """Replaces commands by what `command` makes of (name, argument), inner ones first; other groups keep their braces."""
+    stack: list[list[str]] = [[]]
+    for x in re.split(r"(?<!\\)([{}])", t):
+        if x == "{":
+            stack.append([])
+        elif x == "}" and len(stack) > 1:
+            arg = "".join(stack.pop())
+            last = stack[-1][-1] if stack[-1] else ""
+            if opener := _OPENER.search(last):
+                stack[-1][-1] = last[: opener.start()]
+                stack[-1].append(command(opener[1], arg))
+            else:
+                stack[-1].append("{" + arg + "}")
+        else:
+            stack[-1].append(x)
+    return "{".join("".join(x) for x in stack)
+
+
+def _from_latex(t: str, m: _Marks, n: _Count) -> str:
     import unicodedata
 
+    n.of["latex"] += sum(1 for p in (_COMMAND, _ENVIRONMENT) if p.search(t))
     t = re.sub(r"(?<!\\)\\(['`^\"~=.])(?:\{([a-zA-Z])\}|([a-zA-Z]))", lambda x: unicodedata.normalize("NFC", (x[2] or x[3]) + _ACCENTS[x[1]]), t)
 
     def table(x):
         rows = [r for r in re.split(r"\\\\(?:\[[^\]]*\])?", x[2].replace("\\hline", "")) if r.strip()]
         return "\n\n" + "\n".join(m.row([c for c in re.split(r"(?<!\\)&", r)]) for r in rows) + "\n\n"
 
-    def command(x):
-        name, arg = x[1], x[2]
+    def command(name, arg):
         if name in _SECTION:
             return m.head(_SECTION[name], arg)
         if name in _DROPPED:
@@ -401,11 +469,7 @@ def _from_latex(t: str, m: _Marks) -> str:
 
     t = _TABULAR.sub(table, t)
     t = re.sub(r"~(?=\\(?:ref|cite|eqref))", "", t)
-    for _ in range(6):
-        new = _WITH_ARG.sub(command, t)
-        if new == t:
-            break
-        t = new
+    t = _arguments(t, command)
     t = re.sub(r"\\item\b[ \t]*(?:\[([^\]\n]*)\])?[ \t]*", lambda x: f"\n- {x[1] + ' ' if x[1] else ''}", t)
     t = re.sub(r"\{\\(?:bf|it|em|tt|sc|sl|rm|sf|small|large|Large|huge)\b[ \t]*([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\([a-zA-Z]+)\*?[ \t]?", lambda x: _WORDS.get(x[1], ""), t)
@@ -420,24 +484,21 @@ def convert(text: str | None) -> tuple[str | None, list[tuple[str, int, str]], l
         return None, [], []
     if not families:
         return text, [("paragraph", 0, p) for p in re.split(r"\n\s*\n", text) if p.strip()], []
-    m = _Marks(text)
+    m, n = _Marks(text), _Count()
     t = text
     if "latex" in families:
         t = _VERBATIM.sub(lambda x: m.hold("code", x[2].strip("\n")), t)
-        t = _EQUATION.sub(lambda x: m.hold("formula", x[3].strip()), t)
-        t = _DISPLAY.sub(lambda x: m.hold("formula", (x[1] or x[2]).strip()), t)
-        t = _MATH.sub(lambda x: m.hold("math", x[1] or x[2]), t)
+        t = _formulas(t, n, m.hold)
     if "markdown" in families:
-        t = _FENCE.sub(lambda x: m.hold("code", x[2].rstrip("\n")), t)
-        t = _TICKS.sub(lambda x: m.hold("ticks", x[2].strip()), t)
+        t = _code(t, n, m.hold)
     if "html" in families:
         t = _from_html(t, m)
     if "wiki" in families:
-        t = _from_wiki(t, m)
+        t = _from_wiki(t, m, n)
     if "latex" in families:
-        t = _from_latex(t, m)
+        t = _from_latex(t, m, n)
     if "markdown" in families:
-        t = _from_markdown(t, m)
+        t = _from_markdown(t, m, n)
     blocks = _blocks(t, m)
     return "\n\n".join(b[2] for b in _joined(blocks)), blocks, families
 
@@ -458,10 +519,8 @@ def _blocks(t: str, m: _Marks) -> list[tuple[str, int, str]]:
     held = re.compile(f"{m.a}(\\d+){m.b}")
 
     def back(s: str) -> str:
-        for _ in range(8):  # a held part may hold another
-            new = held.sub(lambda x: m.held[int(x[1])][1], s)
-            if new == s:
-                return s
+        # a held part may hold one that was held before it
+        while (new := held.sub(lambda x: m.held[int(x[1])][1], s)) != s:
             s = new
         return s
 

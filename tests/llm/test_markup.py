@@ -88,3 +88,46 @@ def test_clean_markup(spark):
     got = {r.doc_id: (r.text, [b.kind for b in r.blocks], r.families) for r in clean_markup(df).collect()}
     assert got == {1: ("x", ["paragraph"], ["html"]), 2: (None, [], []), 3: ("", [], []), 4: ("plain\n\ntext", ["paragraph"] * 2, [])}
     assert clean_markup(df.limit(0)).count() == 0
+
+
+def test_no_bound_on_length_or_nesting():
+    formula = "x_1 + " * 100 + "y"
+    assert find_families(f"we get ${formula}$ here") == ["latex"]
+    assert convert(f"we get ${formula}$ here")[0] == f"we get {formula} here"
+    deep = "core"
+    for _ in range(40):
+        deep = "{{a|" + deep + "}}"
+    assert convert(f"so {deep} it is")[0] == "so core it is"
+    deep = "core"
+    for _ in range(40):
+        deep = "\\emph{\\textbf{" + deep + "}}"
+    assert convert(f"so {deep} it is")[0] == "so core it is"
+    assert convert("so **a _b *c __d__ c* b_ a** it is")[0] == "so a b c d c b a it is"
+    assert convert("{{Infobox\n| a = b\n| rest\n}}\ntext")[2] == ["wiki"]
+    assert convert("Title\n--\ntext")[1][0] == ("heading", 2, "Title")
+    assert convert("x = arr[1][2] and m[i][j]")[2] == [] and convert("see [1][2]")[2] == []
+    assert convert("see [1][2]\n\n[2]: http://e.org")[2] == ["markdown"] and convert("see [the text][r1]")[2] == ["markdown"]
+    assert convert("{{ a } b {{c {{{x")[0] == "{{ a } b {{c {{{x"
+
+
+def test_what_stands_beside_the_best_container():
+    body = "<p>" + "A long sentence, with commas, that says something. " * 5 + "</p>"
+    page = (
+        "<body><nav><a href='/'>Home page of this site</a></nav><div id='intro'>A short intro.</div>"
+        f"<div><article><h1>One</h1>{body * 3}</article><ul><li>step one</li><li>step two</li></ul><ol><li>first</li></ol><dl><dt>term</dt><dd>meaning</dd></dl>"
+        f"<article><h2>Two</h2><p>Short one.</p></article><div><a href='/x'>More links of this page</a> <a href='/y'>and more</a></div></div><footer>All rights reserved</footer></body>"
+    )
+    text, blocks, _ = convert(page)
+    for part in ("A short intro.", "- step one\n- step two", "- first", "term", "meaning", "Two", "Short one."):
+        assert part in text, part
+    assert not any(x in text for x in ("Home page", "More links", "All rights"))
+    assert [b[2] for b in blocks if b[0] == "heading"] == ["One", "Two"]
+
+
+def test_time_is_linear_on_notation_never_closed():
+    import time
+
+    for t in ("{{a|" * 20_000, "}}" * 40_000, "\\emph{" * 20_000, "$x " * 40_000, "[a][" * 20_000, "*a _b " * 10_000, "<div" * 20_000, "&a" * 40_000, "{{a|" * 5_000 + "}}" * 5_000, "\\emph{" * 5_000 + "}" * 5_000):
+        start = time.process_time()
+        convert(t)
+        assert time.process_time() - start < 20, t[:10]
