@@ -13,7 +13,7 @@ from reviewloom.llm.frequency import mark_terms, merge_runs, term_frequencies
 from reviewloom.llm.markup import clean_markup
 from reviewloom.llm.near_duplicates import duplicate_groups, record_copies, similar_links, similar_pairs
 from reviewloom.llm.packing import pack_documents
-from reviewloom.llm.shared_spans import repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
+from reviewloom.llm.shared_spans import document_copies, repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
 from reviewloom.operators.reviews import current_reviews
 from reviewloom.session import stash
@@ -163,7 +163,7 @@ def p6_copies(s, d):
     " SELECT DISTINCT least(a, b) AS doc_a, greatest(a, b) AS doc_b FROM m"
 )
 def p10_found(s, d):
-    pairs = span_pairs(*shared_spans(table(s, d, "documents")))
+    pairs = span_pairs(*shared_spans(table(s, d, "documents"), one=True))
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
@@ -194,6 +194,12 @@ def p10_shared(s, d):
     return shared_characters(docs, stash(spans, "spans"), members)
 
 
+@query("WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS copy_of, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE length(text) >= 200) SELECT doc_id, copy_of FROM c WHERE n > 1")
+def p10_copies(s, d):
+    """Documents with exactly the same text: what completes p10_spans, which holds their first, and p10_found beyond 64 copies."""
+    return document_copies(table(s, d, "documents")).select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"))
+
+
 @query(
     "WITH u AS (SELECT doc_id, i, u, lower(trim(regexp_replace(u, '\\s+', ' ', 'g'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS u,"
     " generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents) WHERE trim(u) <> ''),"

@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.arrow_tokens import mix64
-from reviewloom.session import stash
+from reviewloom.operators.key_profile import hot_keys
+from reviewloom.session import measured_stash, stash
 
 SPAN = 200
 UNIT = 100
 #: Documents with the same unit are paired in one task up to this number, with so many places of it each on average.
 EXPAND = 64
 PLACES = 16
+#: More places than this of one digest don't go to one task.
+HOT = 1 << 25
 #: Larger groups are paired in blocks of so many documents.
 BLOCK = 256
 
@@ -136,7 +139,7 @@ def _window_units(unit: int, span: int):
 
 
 def text_units(docs: DataFrame, kind: str = "window", unit: int = UNIT, span: int = SPAN) -> DataFrame:
-    """(id, at, digest) of the windows, or (id, at, digest, text, number) of the lines or paragraphs of (id, text) rows.
+    """(id, at, digest) of the windows, or (id, at, 128-bit digest, text, number) of the lines or paragraphs of (id, text) rows.
 
     `at` is the offset in code points. Blank units are left out.
     """
@@ -145,7 +148,7 @@ def text_units(docs: DataFrame, kind: str = "window", unit: int = UNIT, span: in
             raise ValueError("a unit is at most as long as a span")
         return docs.mapInArrow(_window_units(unit, span), "id bigint, at int, digest bigint")
 
-    return docs.select("id", "text").mapInArrow(_text_units(SEPARATORS[kind]), "id bigint, at int, digest bigint, text string, number int")
+    return docs.select("id", "text").mapInArrow(_text_units(SEPARATORS[kind]), "id bigint, at int, digest binary, text string, number int")
 
 
 def _units(text: str, sep: str) -> Iterator[tuple[int, str]]:
@@ -161,14 +164,14 @@ def _text_units(sep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
-                (i, at, xxhash.xxh3_64_intdigest(" ".join(u.split()).lower()) - (1 << 63), u, k)
+                (i, at, xxhash.xxh3_128_digest(" ".join(u.split()).lower()), u, k)
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                 if t is not None
                 for k, (at, u) in enumerate(_units(t, sep))
                 if u.strip()
             ]
             cols = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int32())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "at", "digest", "text", "number"])
 
     return run
@@ -346,8 +349,35 @@ def _around(unit: int, span: int):
     return run
 
 
-def _compare(span: int):
-    """Maximal equal stretches of at least `span` along a shift, of (a, b, shifts, ta, tb) rows."""
+def _links(units: DataFrame, name: str, expand: int, star: bool, hot: int) -> DataFrame:
+    """(a, b, at_a, at_b, digest) links of (digest, id, at) rows, as _link makes them.
+
+    A digest with more than `hot` places, of which there are fewer than places / hot, is found by exact selection, and its
+    places never meet in a task: its earliest occurrence is a minimum combined on the map side.
+    """
+    u, seen = measured_stash(units.select("digest", "id", "at"), name, F.count(F.lit(1)).alias("n"))
+    schema = "a bigint, b bigint, at_a int, at_b int, digest bigint"
+    link = lambda rows: rows.repartition("digest").sortWithinPartitions("digest", "id", "at").mapInArrow(_link(expand, star), schema)
+    if seen["n"] <= hot:
+        return link(u)
+    keys = stash(hot_keys(u.select(F.col("digest").alias("key"), F.lit(1).alias("weight")), -(-seen["n"] // hot), bins=64).select(F.col("key").alias("digest")), "hot-digests")
+    h = u.join(F.broadcast(keys), "digest")
+    first = h.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("f"))
+    h = h.join(F.broadcast(first), "digest")
+    if not star:
+        alone = h.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("at").alias("at_a"), (F.col("at") - F.col("f.at")).alias("at_b"), "digest")
+        return link(u.join(F.broadcast(keys), "digest", "left_anti")).unionByName(alone)
+    other = h.filter("id <> f.id").groupBy("digest").agg(F.min(F.struct("id", "at")).alias("o"))
+    h = h.join(F.broadcast(other), "digest").filter("id <> f.id or at <> f.at")
+    own = F.col("id") == F.col("f.id")
+    to_first = h.select(
+        F.col("f.id").alias("a"), F.when(own, F.col("o.id")).otherwise(F.col("id")).alias("b"), F.when(own, F.col("at")).otherwise(F.col("f.at")).alias("at_a"), F.when(own, F.col("o.at")).otherwise(F.col("at")).alias("at_b"), "digest"
+    )
+    return link(u.join(F.broadcast(keys), "digest", "left_anti")).unionByName(to_first)
+
+
+def _compare(span: int, one: bool):
+    """Maximal equal stretches of at least `span` along a shift, of (a, b, shifts, ta, tb) rows: all, or one shift's at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("at_a", pa.int32()), ("at_b", pa.int32()), ("chars", pa.int32())])
@@ -363,14 +393,17 @@ def _compare(span: int):
                     eq[1:-1] = x[lo:hi] == y[lo + shift : hi + shift]
                     edge = np.diff(eq)
                     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    rows += [(a, b, lo + int(i), lo + int(i) + shift, int(j - i)) for i, j in zip(s, e) if j - i >= span]
+                    spans = [(a, b, lo + int(i), lo + int(i) + shift, int(j - i)) for i, j in zip(s, e) if j - i >= span]
+                    rows += spans
+                    if one and spans:
+                        break
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, unit: int = UNIT, expand: int = EXPAND, every: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, unit: int = UNIT, expand: int = EXPAND, every: bool = True, block: int = BLOCK, one: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(spans, members). spans (a, b, at_a, at_b, chars): maximal verbatim spans of at least `span` code points that
     documents a < b share. members (id, rep): documents with exactly the same text, by the smallest id.
 
@@ -378,31 +411,37 @@ def shared_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", span:
     more than `expand` documents proposes nothing itself: all runs of `span` characters around its places are grouped in its
     stead, so that a common unit costs no comparison unless a whole span around it is shared. Where such a run, and so a
     true span, stands in more than `expand` documents too, or in PLACES x `expand` places of any number of them, they are paired each with each in blocks over the cluster.
-    Without `every` they are linked to the earliest one only, which finds fewer pairs. Null texts, texts shorter than `span` and rows without an id have no part in it; an empty table gives
+    Without `every` they are linked to the earliest one only, which finds fewer pairs. With `one`, a pair gives the spans of one
+    shift, as where it only matters which documents share any. Null texts, texts shorter than `span` and rows without an id have no part in it; an empty table gives
     empty tables. Ids must be unique.
     """
     d = docs.filter(F.col(id).isNotNull() & (F.length(text) >= span)).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    key = [F.xxhash64("text").alias("h1"), F.hash(F.reverse("text")).alias("h2")]
-    members = stash(_classes(d.select("id", *key)), "text-classes")
+    members = stash(document_copies(docs, id, text, span), "text-classes")
     copies = members.filter("id <> rep").select("id")
     reps = d.join(copies, "id", "left_anti")
-    grouped = lambda u, star: u.select("digest", "id", "at").repartition("digest").sortWithinPartitions("digest", "id", "at").mapInArrow(_link(expand, star), "a bigint, b bigint, at_a int, at_b int, digest bigint")
-    links = stash(grouped(reps.mapInArrow(_window_units(unit, span), "id bigint, at int, digest bigint"), False), "unit-links")
+    links = stash(_links(reps.mapInArrow(_window_units(unit, span), "id bigint, at int, digest bigint"), "units", expand, False, hot), "unit-links")
     # the places of common units, looked at again in all runs of `span` characters around them
     common = links.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_set("at_a").alias("places"))
     wide = common.join(reps, "id").select("id", "places", "text").mapInArrow(_around(unit, span), "digest bigint, id bigint, at int")
-    around = stash(grouped(wide, not every), "run-links")
+    around = stash(_links(wide, "runs", expand, not every, hot), "run-links")
     moved = links.unionAll(around).filter("b is not null").select("a", "b", (F.col("at_b") - F.col("at_a")).alias("shift"))
     if every:
         moved = moved.unionAll(_block_shifts(around.filter("b is null").select("digest", F.col("a").alias("id"), F.col("at_a").alias("at"), F.col("at_b").alias("rel")), block))
     shifts = stash(moved.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "span-links")
     need = shifts.select(F.col("a").alias("id")).unionAll(shifts.select(F.col("b").alias("id"))).distinct()
     texts = stash(d.join(need, "id", "left_semi"), "span-texts")
-    j = shifts.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    spans = j.select("a", "b", "shifts", "ta", "tb").mapInArrow(_compare(span), "a bigint, b bigint, at_a int, at_b int, chars int")
+    # b first: where a is the earliest of very many, each other text moves once and the join by a can be split
+    j = shifts.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    spans = j.select("a", "b", "shifts", "ta", "tb").mapInArrow(_compare(span, one), "a bigint, b bigint, at_a int, at_b int, chars int")
     return spans, members
 
 
+def document_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """(id, rep): every document of at least `span` code points whose exact text another has too, with the first of them."""
+    d = docs.filter(F.col(id).isNotNull() & (F.length(text) >= span))
+    return _classes(d.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h1"), F.hash(F.reverse(text)).alias("h2")))
+
+
 def _classes(hashed: DataFrame) -> DataFrame:
     """(id, rep) of rows (id, h1, h2) that are not alone with their hashes."""
     g = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
