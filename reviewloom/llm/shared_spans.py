@@ -32,7 +32,7 @@ SPAN = 200
 UNIT = 100
 #: Documents with the same unit are paired in one task up to this number, with so many places of it each on average.
 EXPAND = 64
-PLACES = 16
+PLACES = 2
 #: More places than this of one digest don't go to one task.
 HOT = 1 << 25
 #: Larger groups are paired in blocks of so many documents.

@@ -516,20 +516,19 @@ def test_spans_repeated_in_few_documents(spark):
 def test_spans_at_many_uneven_places(spark):
     rnd = random.Random(19)
     line = words(rnd, 70, 3000)[:250]
-    texts = ["".join(line + words(rnd, 30, 3000)[: rnd.randint(5, 90)] for _ in range(n)) for n in (600, 600, 3)]
+    texts = ["".join(line + words(rnd, 30, 3000)[: rnd.randint(5, 90)] for _ in range(n)) for n in (150, 150, 3)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     spans, members = shared_spans(df, one=True)
     assert {(r.a, r.b) for r in span_pairs(stash(spans.select("a", "b").distinct(), "spans"), members).collect()} == {(0, 1), (0, 2), (1, 2)}
     spans, members = shared_spans(df, every=False)
     got = {r.doc_id: r.shared_chars for r in shared_characters(df, stash(spans, "spans"), members).collect()}
     # a stretch may go on by characters that happen to be equal
-    for i, n in enumerate((600, 600, 3)):
+    for i, n in enumerate((150, 150, 3)):
         assert 250 * n <= got[i] <= 260 * n
 
 
-@pytest.mark.parametrize("hot", [3, 40])
-def test_hot_digests_are_split(spark, span_docs, hot):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(span_docs) if i < 60], "doc_id bigint, text string")
+def test_hot_digests_are_split(spark, span_docs, hot=30):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(span_docs) if i < 40], "doc_id bigint, text string")
     for options in ({}, {"every": False}):
         want = shared_spans(df, expand=3, **options)
         got = shared_spans(df, expand=3, hot=hot, **options)
