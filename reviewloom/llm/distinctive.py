@@ -15,6 +15,8 @@ from reviewloom.operators.term_counts import tf_histogram
 WINDOW = 4
 #: At most this many terms can each hold more than 1/HOT_TERMS of all (term, record) pairs; that table is broadcast.
 HOT_TERMS = 65_536
+#: Longer terms are never broadcast.
+LONGEST = 64
 
 
 def graph_degrees(row: np.ndarray, code: np.ndarray, n_codes: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,13 +63,13 @@ def distinctive_terms(records: DataFrame, window: int = WINDOW, hot_terms: int =
     Each record must come once. Records without tokens give no rows; a one-term record scores 0 (no neighbours).
 
     The document frequencies reach the term rows in two ways: terms holding more than 1/hot_terms of all (term, record)
-    pairs, at most hot_terms of them by counting, are broadcast, so the bulk of the rows never moves; the rows of
+    pairs and no longer than LONGEST characters, at most hot_terms of them by counting, are broadcast (a few MB), so the bulk of the rows never moves; the rows of
     all other terms are joined by an exchange on the term, where no term has more than that share.
     """
     df = tf_histogram(records).groupBy("token").agg(F.sum("n").alias("df"))
     pairs = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("p")).scalar()
     n = records.agg(F.count(F.lit(1)).alias("n")).scalar()
-    marked = df.withColumn("_hot", F.col("df") * hot_terms > pairs)
+    marked = df.withColumn("_hot", (F.col("df") * hot_terms > pairs) & (F.length("token") <= LONGEST))
     g = term_graph(records, window)
     hot = F.broadcast(marked.filter("_hot").select("token", "df"))
     hot_rows = g.join(hot, "token")

@@ -5,6 +5,8 @@ seed document retrieves its nearest unused neighbours, which fill its container
 fit; what room is left goes to the largest unused documents that still fit. Seeds are taken largest first, so the small
 documents last to fill the gaps.
 
+A task reads a range of documents and cuts it into shards while it streams; the number of ranges follows from bytes.
+
 Document frequencies are counted over the whole collection, in 2^16 hash buckets, so what every task gets has a fixed
 size. A shard is a range of (topic, id), the topic being a minwise hash of a document's most distinctive terms: documents
 of one topic meet in a shard, and a topic of any size spreads over as many shards as it needs.
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.arrow_tokens import encode_batch, hash_strings, mix64, row_token_counts
 from reviewloom.llm.encode import Encoder, tokenizer_path
-from reviewloom.session import stash
+from reviewloom.session import shuffle_partitions, stash
 
 CAPACITY = 2048
 SHARD = 2048
 BUCKETS = 1 << 16
 K1, B = 1.2, 0.75
+#: Bytes of term lists a task reads.
+TASK_BYTES = 1 << 27
 #: So many of a document's rarest terms make its topic.
 TOPIC_TERMS = 16
 
@@ -70,7 +74,7 @@ def _topics(idf: np.ndarray):
 
 def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.asarray(a.offsets, dtype=np.int64)
-    return np.asarray(a.values, dtype=np.int64)[off[0] :], off - off[0]
+    return np.asarray(a.values, dtype=np.int64)[off[0] : off[-1]], off - off[0]
 
 
 class Shard:
@@ -133,15 +137,11 @@ class Shard:
             out.append(box)
 
 
-def _pack(capacity: int, idf: np.ndarray, mean_length: float):
+def _pack(capacity: int, idf: np.ndarray, mean_length: float, shard_docs: int):
     schema = pa.schema([("container_id", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+    def one(parts: list, base: int) -> tuple[pa.RecordBatch, int]:
+        """The containers of a shard, numbered from base, and how many."""
         t = pa.Table.from_batches(parts).combine_chunks()
         ids, n_tokens = np.asarray(t["id"]), np.asarray(t["n_tokens"])
         (flat, off), (tf, _) = _lists(t["terms"].chunk(0)), _lists(t["tfs"].chunk(0))
@@ -153,7 +153,7 @@ def _pack(capacity: int, idf: np.ndarray, mean_length: float):
         # all rows stay in the index, those without an item are never unused
         size = np.where(np.isin(np.arange(len(ids)), item), rest, capacity + 1)
         boxes = shard_boxes(shard, size, item, capacity)
-        base, box_no = TaskContext.get().partitionId() << 32, 0
+        box_no = 0
         rows = []
         n_parts = full + ((rest > 0) | (full == 0))
         for k in np.flatnonzero(full):
@@ -165,11 +165,50 @@ def _pack(capacity: int, idf: np.ndarray, mean_length: float):
                 rows.append((base + box_no, int(ids[k]), int(full[k]), int(n_parts[k]), int(full[k]) * capacity, int(rest[k])))
             box_no += 1
         cols = list(zip(*rows))
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema), box_no
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
+        for shard in cut_shards(batches, shard_docs):
+            out, n = one(shard, base)
+            base += n
+            yield out
 
     return run
 
 
+def cut_shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list]:
+    """Shards of `size` rows from a stream; what is left at the end makes one shard, or two of equal size. Holds two shards."""
+    held: list = []
+    n = 0
+
+    def take(k: int) -> list:
+        nonlocal n
+        out, left = [], k
+        while left:
+            b = held.pop(0)
+            if b.num_rows > left:
+                held.insert(0, b.slice(left))
+                b = b.slice(0, left)
+            out.append(b)
+            left -= b.num_rows
+        n -= k
+        return out
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        while n >= 2 * size:
+            yield take(size)
+    if n > size + size // 2:
+        yield take(n // 2)
+    if n:
+        yield take(n)
+
+
 def shard_boxes(shard: Shard, size: np.ndarray, item: np.ndarray, capacity: int) -> list[list[int]]:
     """Packs the items only; documents that fill their containers exactly have none."""
     if len(item) == len(size):
@@ -192,13 +231,15 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", capa
     src = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     fields = "id bigint, n_tokens bigint, terms array<int>, tfs array<int>"
     m = stash(src.mapInArrow(_measure(path), fields), "measured")
-    n, total = m.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).head()
+    terms = F.coalesce(F.sum(F.size("terms")), F.lit(0))
+    n, total, n_terms = m.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)), terms).head()
     df = np.zeros(BUCKETS)
     for x in m.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # 2^16 rows at most
         df[x["t"]] = x["n"]
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     with_topic = m.mapInArrow(_topics(idf), fields + ", topic bigint")
-    shards = max(1, -(-n // shard_docs))
-    placed = with_topic.repartitionByRange(shards, "topic", "id").sortWithinPartitions("topic", "id").select("id", "n_tokens", "terms", "tfs")
-    out = placed.mapInArrow(_pack(capacity, idf, total / n if n else 0.0), "container_id bigint, id bigint, part int, parts int, start bigint, n_tokens bigint")
+    # as many tasks as bytes ask for, or as the cluster has, but none of less than a shard
+    tasks = max(-(-n_terms * 8 // TASK_BYTES), min(shuffle_partitions(docs.sparkSession), n // shard_docs), 1)
+    placed = with_topic.repartitionByRange(tasks, "topic", "id").sortWithinPartitions("topic", "id").select("id", "n_tokens", "terms", "tfs")
+    out = placed.mapInArrow(_pack(capacity, idf, total / n if n else 0.0, shard_docs), "container_id bigint, id bigint, part int, parts int, start bigint, n_tokens bigint")
     return out.withColumnRenamed("id", id)

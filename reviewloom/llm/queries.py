@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.distinctive import distinctive_terms
@@ -222,6 +222,23 @@ def p9_pack(s, d):
     return pack_documents(table(s, d, "documents"))
 
 
+@query("SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS overfull, true AS well_filled FROM documents HAVING count(*) > 0")
+def p9_checked(s, d):
+    """What must hold of the packing: every token of every document, counted by the encoder, stands in one container; no document is
+    cut that fits one; no container holds more than its capacity; at least 0.97 of the room, or all but a container, is used."""
+    docs = table(s, d, "documents")
+    p = stash(pack_documents(docs), "packed")
+    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = p.withColumn("before", before).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), (F.count_if((F.col("start") == F.col("before")) & (F.col("parts") > F.col("part"))) == F.max("parts")).alias("whole"), F.max("parts").alias("parts"))
+    j = encode_documents(docs).select("doc_id", F.size("ids").alias("size")).join(parts, "doc_id", "full")
+    ok = (F.col("size") == F.col("n")) & F.col("whole")
+    of_docs = j.agg(F.count("size").alias("n_documents"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("misplaced"), F.count_if((F.col("parts") > 1) & (F.col("size") <= 2048)).alias("cut"), F.lit(1).alias("k"))
+    boxes = p.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    used = F.coalesce(F.sum("n"), F.lit(0))
+    of_boxes = boxes.agg(F.count_if(F.col("n") > 2048).alias("overfull"), (F.count(F.lit(1)) * 2048 * 0.97 <= used + 2048).alias("well_filled"), F.lit(1).alias("k"))
+    return of_docs.join(of_boxes, "k").drop("k").filter("n_documents > 0")
+
+
 @query(
     "WITH u AS (SELECT doc_id, i, u, lower(trim(regexp_replace(u, '\\s+', ' ', 'g'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS u,"
     " generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)),"

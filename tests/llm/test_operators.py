@@ -27,7 +27,7 @@ from reviewloom.llm.near_duplicates import (
     similar_links,
     similar_pairs,
 )
-from reviewloom.llm.packing import pack_documents
+from reviewloom.llm.packing import cut_shards, pack_documents
 from reviewloom.llm.shared_spans import _link, repeated_units, shared_characters, shared_spans, span_pairs, without_repeats
 from reviewloom.llm.top_items import top_items
 from reviewloom.session import stash
@@ -204,6 +204,15 @@ def test_packing(spark):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_shards_cut_from_a_stream():
+    for n in (0, 1, 9, 10, 14, 15, 16, 20, 47):
+        for batch in (1, 7, 100):
+            stream = (pa.record_batch([pa.array(range(i, min(n, i + batch)))], names=["x"]) for i in range(0, n, batch))
+            shards = [[x for b in s for x in b.column(0).to_pylist()] for s in cut_shards(stream, 10)]
+            assert [x for s in shards for x in s] == list(range(n))
+            assert all(len(s) <= 15 and (len(s) >= 7 or len(shards) == 1) for s in shards)
+
+
 @needs_vocabulary
 def test_packing_keeps_topics_together(spark):
     rnd = random.Random(7)
