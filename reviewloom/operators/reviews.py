@@ -24,10 +24,13 @@ def current_reviews(reviews: DataFrame, *columns: str, repeated: int = REPEATED)
     Only ids are exchanged, counted on the map side first: the ids that come more than once are kept as a table, and up to
     `repeated` of them are broadcast, so that all other rows, and the first of two deliveries, pass where they are read.
     Rows of ids that come three times, or twice at the same or an unknown time, are exchanged. With more repeated ids
-    than may be broadcast, all rows are exchanged by review_id.
+    than may be broadcast, all rows are exchanged by review_id; with `repeated` 0 they are without counting, which is cheaper
+    for rows without texts.
     """
     keep = [c for c in dict.fromkeys(columns) if c != "review_id"]
     r = reviews.filter(F.col("review_id").isNotNull()).select("review_id", "loaded_at", *[c for c in keep if c != "loaded_at"])
+    if not repeated:
+        return _earliest(r).select("review_id", *keep)
     many, seen = measured_stash(r.groupBy("review_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("review_id"), "repeated-ids", F.count(F.lit(1)).alias("n"))
     if seen["n"] == 0:
         return r.select("review_id", *keep)

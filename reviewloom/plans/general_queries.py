@@ -69,7 +69,7 @@ def p3_loaded(s, d):
 
 
 def _product_rows(s, d, value: str) -> DataFrame:
-    r = current_reviews(table(s, d, "reviews"), "product_id", value)
+    r = current_reviews(table(s, d, "reviews"), "product_id", value, repeated=0)
     # equal (product, value) rows become one with a weight before anything is kept
     h = r.groupBy("product_id", value).agg(F.count(F.lit(1)).alias("weight"))
     return stash(h.select(F.col("product_id").alias("key"), F.col(value).alias("value"), "weight"), "product-values")
@@ -114,7 +114,7 @@ def p4_tokens(s, d):
     f"WITH {_R} SELECT product_id, review_id // 65536 AS segment, string_agg(review_id, ',' ORDER BY review_id) AS review_ids FROM r WHERE product_id IS NOT NULL GROUP BY ALL"
 )
 def p4_product_lists(s, d):
-    k = keyed_lists(current_reviews(table(s, d, "reviews"), "product_id"), "product_id", "review_id")
+    k = keyed_lists(current_reviews(table(s, d, "reviews"), "product_id", repeated=0), "product_id", "review_id")
     return k.select(F.col("key").alias("product_id"), "segment", F.array_join(F.col("items").cast("array<string>"), ",").alias("review_ids"))
 
 

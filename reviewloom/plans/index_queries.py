@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import codecs
 from reviewloom.functions.tokens import token_count
 from reviewloom.operators import build, lookup, rank
-from reviewloom.operators.reviews import current_reviews
+from reviewloom.operators.reviews import REPEATED, current_reviews
 from reviewloom.session import shared_path, stash
 from reviewloom.sources.dump import parse_records, read_dump, split_valid, write_dump
 from reviewloom.sources.index import drop_index, open_index, write_index
@@ -85,7 +85,8 @@ def query(sql: str):
 
 
 def _reviews(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    return current_reviews(table(s, d, "reviews"), *columns)
+    # rows without texts are exchanged; texts stay where they are read
+    return current_reviews(table(s, d, "reviews"), *columns, repeated=REPEATED if "text" in columns else 0)
 
 
 def _post(s: SparkSession, d: str) -> DataFrame:
